@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import warc
+from lexspark.llm import bpe, gif, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_warc_revisits": warc.op4_warc_revisits}
+    return {
+        "op4_warc_revisits": warc.op4_warc_revisits,
+        "op5_vector_packing": packing.op5_vector_packing,
+        "op6_bpe_codec": bpe.op6_bpe_codec,
+        "op9_gif_media": gif.op9_gif_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

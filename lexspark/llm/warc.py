@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexspark.llm.common import fresh_path
 
@@ -102,7 +103,7 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
     return path
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unchunked(bodies: pd.Series) -> pd.Series:
     """Payloads of chunked bodies; nulls (bodies that are not chunked) pass through."""
 
