@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, gif, packing, warc
+from lexspark.llm import bpe, gif, jaccard, lines, packing, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op4_warc_revisits": warc.op4_warc_revisits,
         "op5_vector_packing": packing.op5_vector_packing,
         "op6_bpe_codec": bpe.op6_bpe_codec,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op9_gif_media": gif.op9_gif_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_revisits": warc.OP4_SQL}
+    return {"op4_warc_revisits": warc.OP4_SQL, "op7_line_dedup": lines.OP7_SQL}
