@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, gif, jaccard, langid, lines, packing, repeats, vectors, warc
+from lexspark.llm import bpe, gif, gru, jaccard, langid, lines, packing, repeats, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_itq_neardup": vectors.op8_itq_neardup,
         "op9_gif_media": gif.op9_gif_media,
+        "op10_gru_score": gru.op10_gru_score,
     }
 
 

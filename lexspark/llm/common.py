@@ -115,3 +115,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         tops.select("node", F.col("node").alias("component"))
     )
+
+
+#: Bits of the filter that ``may_match`` builds: 256 rows of 4096 bytes at most, whatever the data.
+FILTER_BITS = 1 << 23
+
+
+def may_match(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows of ``df`` whose hashed ``key`` may be one of ``wanted``'s: all that are, and few others while few are wanted.
+
+    Keys are 64-bit hashes. The filter has a fixed size, so broadcasting it is safe at any scale.
+    """
+    slot = lambda c: F.col(c).bitwiseAND(FILTER_BITS - 1) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot(wanted_key)).alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(wanted_key))).alias("__m"))
+    bit = F.bitmap_bit_position(slot(key))
+    byte = F.conv(F.hex(F.substr(F.col("__m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
+    return df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(key)) == F.col("__b")).where(hit).drop("__b", "__m")

@@ -305,7 +305,7 @@ def _merged(runs) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _remove(carry: list[str]):
+def _remove(carry: list[str], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -316,14 +316,17 @@ def _remove(carry: list[str]):
                     edges = [0, *(x for c in cuts for x in c), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])))
                 listed = pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(kept, pa.binary()), listed], [*carry, "kept", "spans"])
+                column = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), column, listed], [*carry, "kept", "spans"])
 
     return run
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", span: int = 400) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", span: int = 400, as_text: bool = False) -> DataFrame:
     """``df`` without its text, and with ``kept`` (the bytes that stay) and ``spans`` (removed byte runs [first, end)).
 
+    With ``as_text``, ``kept`` is a string, without the rests of characters that a cut splits.
+
     A byte goes if a string of ``span`` bytes that covers it also starts anywhere else, in the same text or another;
     strings are judged on the input. Null texts are empty and keep nothing; rows that repeat a text lose it where
     it has ``span`` bytes or more. All other columns stay; ones named ``kept`` or ``spans`` are replaced.
@@ -334,8 +337,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", span: int = 400) -> Da
     touched = docs.drop("t").join(per_doc.withColumnRenamed("doc", "p"), F.col("doc") == F.col("p"), "left").drop("doc", "p")
     slots = [f"o{i}" for i in range(len(carry))]
     types = {f.name: f.dataType.simpleString() for f in named.schema}
-    schema = ", ".join([*(f"{s} {types[s]}" for s in slots), "kept binary, spans array<struct<first:bigint,end:bigint>>"])
-    out = touched.select(*slots, "b", "runs").mapInArrow(_remove(slots), schema)
+    schema = ", ".join([*(f"{s} {types[s]}" for s in slots), f"kept {'string' if as_text else 'binary'}, spans array<struct<first:bigint,end:bigint>>"])
+    out = touched.select(*slots, "b", "runs").mapInArrow(_remove(slots, as_text), schema)
     return out.select(*[F.col(s).alias(c) for s, c in zip(slots, carry)], "kept", "spans")
 
 
