@@ -1,10 +1,10 @@
 """Near-duplicate lines within one edit, by a deletion-neighbourhood join. DataFrame operations only.
 
-Equal lines are one line, found at its earliest place. A line is cut into at most 64 blocks, and each
+Equal lines are one line, found at its earliest place. A line is cut into at most 16 blocks, and each
 block is deleted in turn: the hash of what remains (with the block's number and the smaller length of the
 pair) is a key. Two lines within one edit agree on a key: the edit lies in one block, and deleting that
 block, one character wider in the longer line, leaves the same text. Blocks hold one character in lines
-under 64 characters and grow by powers of two, so a line has at most 128 keys and linear work.
+under 16 characters and grow by powers of two, so a line has at most 32 keys and linear work.
 
 Lines that agree on a key differ in that block alone. Its content gets all its single deletions as keys of
 a second level. Contents that agree without their p-th character are one substitution apart, all of them, and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import written
 
-BLOCKS = 64
+BLOCKS = 16
 #: Bits of the filter over documents with candidate lines: 64 rows of 4096 bytes, whatever the data.
 FILTER_BITS = 1 << 21
 
@@ -101,7 +101,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     place = F.struct(F.col("k_id").isNull().alias("anon"), "k_id", "k_text", F.col("x.pos").alias("pos"))
     texts = written(cut.select(F.col("x.h").alias("h"), place.alias("first"), F.col("x.line").alias("line")).dropDuplicates(["h"]), "candidates")
 
-    keyed = texts.select("h", F.explode(_deletion_keys(F.col("line"))).alias("k")).select("h", "k.*")
+    keyed = written(texts.select("h", F.explode(_deletion_keys(F.col("line"))).alias("k")).select("h", "k.*"), "keyed")
     several = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     members = written(keyed.join(several, "key", "left_semi"), "members").join(texts, "h")
     content = F.substr("line", F.col("start") + 1, F.col("size"))
