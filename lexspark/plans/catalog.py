@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from lexspark.plans import scalar_queries, text_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5)
+    return text_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return text_queries.queries() | scalar_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return text_queries.oracle_sql() | scalar_queries.oracle_sql()
