@@ -2,17 +2,18 @@
 
 A set is the distinct hashed shingles of a text. Sets that are equal are one node (a node's name is the
 hash of its sorted set), so copies inherit every answer of the set they equal. All sets are ordered the
-same way (shingles that many texts hold come last), and only the rarest part of each set is indexed:
-two sets that reach the threshold share at least one indexed shingle.
+same way, by a sketch of how many texts hold a shingle, and only the rarest part of each set is indexed:
+two sets that reach the threshold share at least one indexed shingle, whatever the order.
 
-An index list holds (size, node, position), sorted by size. Two rounds use it, both without emitting
-the pairs of a list that are known to be connected:
+An index list holds (size, node, position), sorted by size. It is never turned into all its pairs:
 
-1. Each entry is paired with the entry before it; these pairs are verified, and give classes.
-2. Lists that hold more than one class are read again in blocks. A block is skipped as a whole when its
-   sizes are too small, when its positions leave too few shingles to reach the threshold, or when all its
-   entries are in the reader's class already (their answers follow from those of the similar set).
-   What is left is verified.
+1. Each entry is paired with the entry before it. The pairs are verified; those that reach the threshold give
+   classes, those that come near it give families of classes.
+2. Lists that hold more than one family are read again in blocks. A block is skipped as a whole when its sizes
+   are too small, when its positions leave too few shingles to reach the threshold, or when all its entries are in
+   the reader's family. Pairs across families are verified one by one.
+3. Families of more than one class are compared within, in blocks of sets that travel once per pair of blocks. A
+   set is held against those of other classes only: the answers of its own class follow from similar sets.
 
 Verification receives a set with its partners in order and computes the first overlap in full; for a
 partner that differs little from the one before, it adds and subtracts the overlap of the differences.
@@ -28,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import components, dropped, written
+from lexspark.llm.common import components, may_match, written
 
-#: Entries of the table of frequent shingles that all tasks read; it sets the order only, never the result.
-FREQUENT = 1 << 16
-BLOCK = 64
-#: Bits of the filter that keeps most texts without a pair from being read a third time.
-FILTER_BITS = 1 << 23
+#: Counters of the sketch that orders shingles, and how many travel in one row. It sets the order only, never the result.
+SKETCH, CHUNK = 1 << 21, 1 << 14
+#: Entries of a list block, and sets of a family block.
+BLOCK, FAMILY_BLOCK = 64, 256
+#: Per cent of the union from which a verified pair belongs to one family.
+FAMILY_PERCENT = 50
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -76,39 +78,57 @@ def _needed(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - 21)).astype(np.int64)
+
+
 def _scan(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = _Words(), [], 0
+    """Rows (id, h, n, node) of texts, and a task's part of the sketch in rows (chunk, counts)."""
+    names = ["id", "h", "n", "node", "chunk", "counts"]
 
-        def counts() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= 4
-            values, n = values[keep].view(np.int64), n[keep]
-            nulls = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(values), pa.array(n)], ["id", "n", "node", "shingle", "count"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen, held, size = _Words(), set(), [], 0
+        sketch = np.zeros(SKETCH, np.int64)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = shingle_sets(part.column("t").to_pylist(), words, known)
-                held += sets
-                size += sum(map(len, sets))
-                nulls = pa.nulls(len(sets), pa.int64())
                 nodes = [_node(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64()), nulls, nulls], ["id", "n", "node", "shingle", "count"])
-                if size > 4_000_000:
-                    yield counts()
+                for s, node in zip(sets, nodes):
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        held.append(_cell(s))
+                        size += len(s)
+                if size > 2_000_000:
+                    sketch += np.bincount(np.concatenate(held), minlength=SKETCH)
                     held, size = [], 0
+                if len(seen) > 500_000:
+                    seen.clear()
+                nulls = [pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64()), *nulls], names)
         if held:
-            yield counts()
+            sketch += np.bincount(np.concatenate(held), minlength=SKETCH)
+        if sketch.any():
+            parts = np.minimum(sketch, 65535).astype("<u2").reshape(-1, CHUNK)
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
     return run
 
 
-def _prefixes(words: int, percent: int, frequent):
+def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(counts.as_py(), "<u2").astype(np.int64)
+    out = [np.minimum(v, (1 << 32) - 1).astype("<u4").tobytes() for v in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(out, pa.binary())], ["chunk", "counts"])
+
+
+def _prefixes(words: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Words(), set()
-        values, order = frequent.value
+        known, seen, often = _Words(), set(), sketch.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), []
@@ -117,10 +137,7 @@ def _prefixes(words: int, percent: int, frequent):
                     if not n or (node := _node(s)) in seen:
                         continue
                     seen.add(node)
-                    if len(values):
-                        j = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                        often = values[j] == s
-                        s = np.concatenate([s[~often], s[often][np.argsort(order[j[often]], kind="stable")]])
+                    s = s[np.argsort(often[_cell(s)], kind="stable")]  # equal counts stay in the order of the hashes
                     s = s[: n - -(-percent * n // 100) + 1]
                     out.append((s, np.full(len(s), n), np.full(len(s), node), np.arange(len(s))))
                 if len(seen) > 500_000:
@@ -173,7 +190,7 @@ def _chain(percent: int):
 
 
 def _across(percent: int):
-    """Pairs of a list's entries that are in different classes and may reach the threshold."""
+    """Pairs of a list's entries that are in different families and may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, blocks, found = None, [], set()
@@ -210,50 +227,84 @@ def _across(percent: int):
     return run
 
 
-def _wanted_sets(words: int, bits):
+def _verify(words: int, percent: int):
+    """Rows (u, v, linked) of sets that reach the threshold, or that come near it; a set (v) comes first, then its partners in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
+        owner, y, last, last_overlap = None, None, None, 0
         for batch in batches:
-            ids = batch.column("h").to_numpy(zero_copy_only=False)
-            slot = ids.astype(np.int64) & (FILTER_BITS - 1)
-            some = np.flatnonzero(bits.value[slot >> 3] >> (slot & 7) & 1)
-            for at in range(0, len(some), 256):
-                part = batch.column("t").take(pa.array(some[at : at + 256]))
-                sets = [s for s in shingle_sets(part.to_pylist(), words, known) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s"])
+            us, vs, linked = [], [], []
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = shingle_sets(part.column("t").to_pylist(), words, known)
+                for x, node, v in zip(sets, part.column("node").to_pylist(), part.column("owner").to_pylist()):
+                    if v != owner:
+                        owner, y, last = v, None, None
+                    if node == v:
+                        y = x
+                        continue
+                    overlap = None
+                    if last is not None and abs(len(x) - len(last)) <= len(x) // 10:
+                        gone, new = np.setdiff1d(last, x, assume_unique=True), np.setdiff1d(x, last, assume_unique=True)
+                        if len(gone) + len(new) <= len(x) // 5:  # highly similar: only the differences are looked up
+                            overlap = last_overlap - int(np.isin(gone, y, assume_unique=True).sum()) + int(np.isin(new, y, assume_unique=True).sum())
+                    if overlap is None:
+                        overlap = len(np.intersect1d(x, y, assume_unique=True))
+                    last, last_overlap = x, overlap
+                    union = len(x) + len(y) - overlap
+                    if 100 * overlap >= min(percent, FAMILY_PERCENT) * union:
+                        us.append(node)
+                        vs.append(v)
+                        linked.append(100 * overlap >= percent * union)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
     return run
 
 
-def _verify(percent: int):
-    """Rows (u, v) whose sets reach the threshold; partners of one set arrive together, in order."""
+def _within(words: int, percent: int):
+    """Links (u, v) between sets of different classes of one family; rows arrive by (family, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, last, last_overlap = None, None, 0
+        known, key, rows = _Words(), None, []
+
+        def found() -> pa.RecordBatch:
+            rows.sort(key=lambda r: (len(r[2]), r[0]))
+            sizes, sides = np.array([len(r[2]) for r in rows]), np.array([r[3] for r in rows])
+            labels, us, vs = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1], [], []
+            for b in range(1, len(rows)):
+                a = int(np.searchsorted(100 * sizes, percent * sizes[b]))  # the smallest set that may reach it
+                open_ = np.flatnonzero((labels[a:b] != labels[b]) & ((sides[a:b] != sides[b]) | (key[1] == key[2]))) + a
+                if not len(open_):
+                    continue
+                y, others = rows[b][2], np.concatenate([rows[c][2] for c in open_])
+                held = y[np.minimum(np.searchsorted(y, others), len(y) - 1)] == others
+                overlap = np.add.reduceat(held.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[open_])[:-1]]))
+                for c in open_[100 * overlap >= percent * (sizes[open_] + sizes[b] - overlap)].tolist():
+                    if labels[c] != labels[b]:  # one link joins two classes; the rest follows
+                        us.append(rows[c][0])
+                        vs.append(rows[b][0])
+                        labels[labels == labels[c]] = labels[b]
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
         for batch in batches:
-            us, vs = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            keep = np.zeros(len(us), bool)
-            for i, v in enumerate(vs):
-                x = np.frombuffer(batch.column("su")[i].as_py(), np.uint64)
-                if v != owner:
-                    owner, last = v, None
-                    y = np.frombuffer(batch.column("sv")[i].as_py(), np.uint64)
-                overlap = None
-                if last is not None and abs(len(x) - len(last)) <= len(x) // 10:
-                    gone, new = np.setdiff1d(last, x, assume_unique=True), np.setdiff1d(x, last, assume_unique=True)
-                    if len(gone) + len(new) <= len(x) // 5:  # highly similar: only the differences are looked up
-                        overlap = last_overlap - int(np.isin(gone, y, assume_unique=True).sum()) + int(np.isin(new, y, assume_unique=True).sum())
-                if overlap is None:
-                    overlap = len(np.intersect1d(x, y, assume_unique=True))
-                last, last_overlap = x, overlap
-                keep[i] = 100 * overlap >= percent * (len(x) + len(y) - overlap)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"]).filter(pa.array(keep))
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = shingle_sets(part.column("t").to_pylist(), words, known)
+                for s, family, i, j, node, label, side in zip(sets, *(part.column(c).to_pylist() for c in ("family", "i", "j", "node", "label", "side"))):
+                    if (family, i, j) != key:
+                        if len(rows) > 1:
+                            yield found()
+                        key, rows = (family, i, j), []
+                    rows.append((node, label, s, side))
+        if len(rows) > 1:
+            yield found()
 
     return run
 
 
 def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``df``: (id, n_shingles, component_id), ids as long.
+    """One row per row of ``df``: (id, n_shingles, component_id, text_hash), ids as long.
 
     Rows link when 100 * intersection >= percent * union of their shingle sets. ``component_id`` is the
     smallest id reachable by links. A text with fewer words than a shingle is one shingle; null and
@@ -261,49 +312,75 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     their own; a null id is never the smallest one unless all ids of its class are null.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    scan = written(docs.mapInArrow(_scan(words), "id long, n long, node long, shingle long, count long"), "sets")
-    nodes = scan.where("shingle is null").select("id", "n", "node")
-
-    top = scan.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).where("c >= 16").orderBy(F.desc("c"), "shingle").limit(FREQUENT).collect()
-    values = np.array([r.shingle for r in top], np.int64).view(np.uint64)
-    by_value = np.argsort(values)
-    frequent = spark.sparkContext.broadcast((values[by_value], (len(top) - np.arange(len(top)))[by_value]))
-
-    postings = docs.select("t").mapInArrow(_prefixes(words, percent, frequent), "shingle long, n long, node long, pos long")
+    text = F.col(f"`{text_col}`").cast("string")
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    scan = written(docs.mapInArrow(_scan(words), "id long, h long, n long, node long, chunk long, counts binary"), "sets")
+    nodes = scan.where("chunk is null").select("id", "h", "n", "node")
+
+    parts = scan.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_sketches, "chunk long, counts binary").collect()
+    sketch = np.zeros((SKETCH // CHUNK, CHUNK), np.uint32)
+    for r in parts:
+        sketch[r["chunk"]] = np.frombuffer(bytes(r["counts"]), "<u4")
+    often = spark.sparkContext.broadcast(sketch.ravel())
+
+    postings = docs.select("t").mapInArrow(_prefixes(words, percent, often), "shingle long, n long, node long, pos long")
     entry = "shingle long, n long, node long, pos long, before long"
     lists = written(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_chain(percent), entry), "lists")
+    sources = nodes.where("node is not null").groupBy("node").agg(F.min("h").alias("h"))
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """``wanted`` (with node) and the texts of its nodes. Texts travel, not sets: they are half the size."""
+        wanted = written(wanted.join(sources, "node"), "wanted")
+        return may_match(docs.select("h", "t"), "h", wanted, "h").dropDuplicates(["h"]).join(wanted, "h").drop("h")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets reach the threshold."""
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        wanted = nodes.join(ends, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-        slot = F.xxhash64("id").bitwiseAND(FILTER_BITS - 1)
-        maps = wanted.groupBy(F.bitmap_bucket_number(slot + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("m")).collect()
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for r in maps:
-            bits[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(r.m)] = np.frombuffer(bytes(r.m), np.uint8)
-        shared = spark.sparkContext.broadcast(bits)
-        sets = docs.select(F.xxhash64("id").alias("h"), "t").mapInArrow(_wanted_sets(words, shared), "node long, s binary")
-        sets = written(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "wanted")
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-        return written(both.sortWithinPartitions("v", "u").mapInArrow(_verify(percent), "u long, v long"), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("owner")).union(pairs.select("v", "v")).distinct()
+        met = with_texts(ends).repartition("owner").sortWithinPartitions("owner", F.col("node") != F.col("owner"), "node")
+        return written(met.select("owner", "node", "t").mapInArrow(_verify(words, percent), "u long, v long, linked boolean"), "links")
 
     pairs = lists.where("before is not null").select(F.least("node", "before").alias("u"), F.greatest("node", "before").alias("v")).distinct()
-    links = linked(written(pairs, "pairs"))
+    near = verified(written(pairs, "pairs"))
+    links = near.where("linked").select("u", "v")
     classes = written(components(links), "classes")
-    labelled = lists.join(classes.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    families = written(components(near.select("u", "v")), "families").withColumnRenamed("component", "family")
+
+    labelled = lists.join(families.withColumnRenamed("family", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_lists = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
     across = labelled.join(open_lists, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_across(percent), "u long, v long")
-    more = linked(written(across.distinct(), "pairs"))
-    final = components(links.union(more))
-
-    labels = nodes.join(final, "node", "left").select("id", "n", F.coalesce("component", "node").alias("label"))
+    more = verified(written(across.distinct(), "pairs")).where("linked").select("u", "v")
+
+    members = families.join(classes.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = members.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b")
+    blocks = members.join(sizes.select("family", F.ceil(F.col("m") / FAMILY_BLOCK).cast("int").alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "node", "family", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side")
+    )
+    keys = ["family", "i", "j"]
+    inner = with_texts(dealt).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_within(words, percent), "u long, v long")
+    final = components(links.union(more).union(written(inner, "links")))
+
+    labels = nodes.join(final, "node", "left").select("id", "h", "n", F.coalesce("component", "node").alias("label"))
     least = labels.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
-    named = labels.where("label is not null").join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
-    return named.union(labels.where("label is null").select("id", "n", "id"))
+    named = labels.where("label is not null").join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id", F.col("h").alias("text_hash"))
+    return named.union(labels.where("label is null").select("id", "n", "id", "h"))
+
+
+def one_of_each_class(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` that stand for their class: of each class one row, with the smallest id.
+
+    Among rows of that id, the one with the smallest text hash; of rows equal in both, one. Texts without words
+    link with nothing and stay, once for each id and text.
+    """
+    classes = jaccard_classes(df, text_col, id_col, words, percent)
+    heads = classes.where(F.col("id").eqNullSafe(F.col("component_id")))
+    own = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("text_hash"))
+    kept = heads.groupBy("id", own.alias("own")).agg(F.min("text_hash").alias("kept_h")).select(F.col("id").alias("kept_id"), "kept_h").distinct()
+    names = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(df.columns)]
+    rows = df.select(*names, F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h")).dropDuplicates(["id", "h"])
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    return met.select(*[F.col(f"o{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose five-word shingle sets reach a similarity of 0.8."""
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
