@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of tables that ``written`` made in this session.
+_FOLDERS: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -30,16 +34,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _FOLDERS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _deleted(df.sparkSession, path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes all tables that this session's operators wrote; call it once their results are stored elsewhere."""
+    paths, _FOLDERS[:] = list(_FOLDERS), []
+    for path in paths:
+        _deleted(spark, path)
+    return len(paths)
+
+
+def bounded_sample(df: DataFrame, by: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hashes of ``by``; few more than that reach the driver.
+
+    A threshold from the row count leaves about half as many again, whatever the number of partitions.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(by), 1)
+    n = df.count()
+    if n > rows:
+        df = df.where(h < min((1 << 63) - 1, int((1 << 63) * (1.5 * rows + 50) / n)))
+    return df.orderBy(h).limit(rows)
 
 
 def text_key(text: Column) -> Column:
@@ -79,18 +106,25 @@ def _forest(batches):
     yield edges()
 
 
+#: Edges that one task may hold at the end: a bound on memory, not on the graph.
+LAST_EDGES = 500_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v: long): rows (node, component), component = smallest node.
 
-    Alternates large-star and small-star steps until the edge set no longer changes; every round
-    is a pair of grouped minima (combined before the shuffle, so a node with a third of all edges is
-    harmless) and is written to the shared folder. Nodes without an edge are not returned.
+    Every partition first reduces its edges to a forest. While more than ``LAST_EDGES`` are left, large-star and
+    small-star steps contract the graph: grouped minima, combined before the shuffle, so a node with a
+    third of all edges is harmless. What is left then is a forest that one task can finish. Each round is
+    written to the shared folder. Nodes without an edge are not returned.
     """
-    spark = edges.sparkSession
     plain = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    current = written(plain.mapInArrow(_forest, "u long, v long"), "edges")
-    before = None
+    current, before = written(plain.mapInArrow(_forest, "u long, v long"), "edges"), None
     for _ in range(max_rounds):
+        if current.count() <= LAST_EDGES:
+            last = written(current.coalesce(1).mapInArrow(_forest, "u long, v long"), "edges")
+            dropped(current)
+            return _stars(last)
         # large star: each node hands its larger neighbours to its smallest neighbour (or itself)
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -98,23 +132,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: each node hands its smaller neighbours, and itself, to the smallest of them
         down = large.where("u > v").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = written(small.where("u <> v").distinct(), "edges")
-        state = after.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
+        state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         dropped(current)
         current = after
         if before == state:
-            break
+            return _stars(current)
         before = state
-    else:
-        raise RuntimeError("components did not settle")
-    tops = current.select(F.col("v").alias("node")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        tops.select("node", F.col("node").alias("component"))
-    )
+    raise RuntimeError("components did not settle")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges that lead from each node to the smallest one of its component."""
+    tops = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops.select("node", F.col("node").alias("component")))
 
 
 #: Bits of the filter that ``may_match`` builds: 256 rows of 4096 bytes at most, whatever the data.

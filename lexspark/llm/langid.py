@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import bounded_sample, written
 
 CELLS = 1 << 16
 #: The name of text in no language of the model.
@@ -64,7 +64,7 @@ def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lan
     """
     text, label = F.col(f"`{text_col}`"), F.lower(F.col(f"`{label_col}`"))
     known = labelled.where(text.isNotNull() & label.isNotNull() & (F.length(text) <= max_chars))
-    sample = known.select(text.alias("t"), label.alias("l"), F.xxhash64(text).alias("h")).orderBy("h", "t", "l").limit(rows).collect()
+    sample = bounded_sample(known.select(text.alias("t"), label.alias("l")), F.col("t"), rows).collect()
     counts: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
     for r in sample:

@@ -22,11 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import may_match, written
 
 BLOCKS = 16
-#: Bits of the filter over documents with candidate lines: 64 rows of 4096 bytes, whatever the data.
-FILTER_BITS = 1 << 21
 
 
 def _power(exponent: Column) -> Column:
@@ -90,12 +88,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("at")), "wanted",
     )
 
-    slot = lambda key: key.bitwiseAND(FILTER_BITS - 1) + 1
-    bits = at.groupBy(F.bitmap_bucket_number(slot(F.col("w_text"))).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(F.col("w_text")))).alias("m"))
-    near = docs.join(F.broadcast(bits), F.bitmap_bucket_number(slot(F.col("k_text"))) == F.col("b"))  # at most FILTER_BITS / 32768 rows of 4096 bytes
-    bit = F.bitmap_bit_position(slot(F.col("k_text")))
-    byte = F.conv(F.hex(F.substr(F.col("m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = near.where(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0).select("k_id", "k_text", "lines")
+    near = may_match(docs.select("k_id", "k_text", "lines"), "k_text", at, "w_text")
     found = near.join(at, F.col("k_id").eqNullSafe(F.col("w_id")) & (F.col("k_text") == F.col("w_text")))
     cut = found.select("k_id", "k_text", F.explode(F.transform("at", lambda x: F.struct(x.pos.alias("pos"), x.h.alias("h"), F.element_at("lines", x.pos + 1).alias("line")))).alias("x"))
     place = F.struct(F.col("k_id").isNull().alias("anon"), "k_id", "k_text", F.col("x.pos").alias("pos"))

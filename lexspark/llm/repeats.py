@@ -24,14 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import may_match, written
 
 GRAM = 64
 #: Window starts handled at once; places within a piece must fit in PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 20, 21
 #: Bytes of text under one index, and the distinct texts from which a minimiser's group is filed again.
 BATCH_BYTES, MANY = 1 << 20, 1024
-FILTER_BITS = 1 << 21
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -165,20 +164,6 @@ class RunIndex:
         return out
 
 
-def _slot(key: Column) -> Column:
-    return key.bitwiseAND(FILTER_BITS - 1) + 1
-
-
-def _passes(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows of ``df`` whose key may be in ``wanted``, by a filter of at most FILTER_BITS / 32768 rows of 4096 bytes."""
-    slot, own = _slot(F.col(wanted_key)), _slot(F.col(key))
-    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__m"))
-    bit = F.bitmap_bit_position(own)
-    byte = F.conv(F.hex(F.substr(F.col("__m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
-    return df.join(F.broadcast(bits), F.bitmap_bucket_number(own) == F.col("__b")).where(hit).drop("__b", "__m")
-
-
 def _find_regions(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "start", "windows", "minimiser", "content"]
@@ -275,7 +260,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", key: Column | None = N
     by_doc = written(
         wanted.groupBy(F.col("at.doc").alias("w")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "minimiser", "content", "n", "texts")).alias("x")), "wanted",
     )
-    sources = _passes(docs.where(F.octet_length("b") >= span).select("doc", "b"), "doc", by_doc, "w").join(by_doc, F.col("doc") == F.col("w"))
+    sources = may_match(docs.where(F.octet_length("b") >= span).select("doc", "b"), "doc", by_doc, "w").join(by_doc, F.col("doc") == F.col("w"))
     cut = F.transform("x", lambda r: F.struct(r.minimiser.alias("minimiser"), r.content.alias("content"), r.n.alias("n"), r.texts.alias("texts"), F.substr(F.col("b"), (r.start + 1).cast("int"), (r.windows + (span - 1)).cast("int")).alias("bytes")))
     # equal documents bring equal texts: one of each stays
     texts = sources.dropDuplicates(["doc"]).select(F.explode(cut).alias("r")).select("r.*").withColumn("shift", F.lit(0).cast("long"))

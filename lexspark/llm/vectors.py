@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import components, written
+from lexspark.llm.common import bounded_sample, components, written
 
 BITS, BLOCK = 64, 1024
 
@@ -152,8 +152,8 @@ def near_vectors(df: DataFrame, vector_col: str = "embedding", label_col: str =
     Vectors link when their labels are equal and not null and their cosine is at least ``cosine``. Vectors that
     are null, empty, zero, or hold nulls or values that are not finite link with nothing; so do rows without an
     id. Vectors of different sizes link with nothing. Links are exact; each is found with a probability of at
-    least about 0.998 at the threshold, more above it. ``sample`` vectors at most (those with the smallest hashed
-    ids) fit the rotation.
+    least about 0.998 at the threshold, more above it. ``sample`` vectors at most (those with the smallest
+    hashes) fit the rotation.
     """
     spark = df.sparkSession
     v = F.col("v")
@@ -162,7 +162,7 @@ def near_vectors(df: DataFrame, vector_col: str = "embedding", label_col: str =
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size(v) > 0) & finite, F.lit(False))
     rows = rows.withColumn("node", F.when(valid, F.shiftrightunsigned(F.xxhash64("label", "v"), 1)))
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("label").alias("label"), F.first("v").alias("v")), "vectors")
-    held = nodes.orderBy(F.xxhash64("id"), "node").select("v").limit(sample).collect()
+    held = bounded_sample(nodes.select("node", "v"), F.col("node"), sample).collect()
     by_size: dict[int, list] = {}
     for r in held:
         by_size.setdefault(len(r.v), []).append(r.v)

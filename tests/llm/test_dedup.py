@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute
 from pyspark.sql import functions as F
 
-from lexspark.llm import jaccard, lines, repeats, vectors
+from lexspark.llm import common, jaccard, lines, repeats, vectors
 from lexspark.llm.common import components
 
 
@@ -18,7 +18,9 @@ def words(pick, n, vocabulary=500):
     return [f"w{pick.randrange(vocabulary)}" for _ in range(n)]
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("last", [500_000, 3])
+def test_components_match_union_find(spark, monkeypatch, last):
+    monkeypatch.setattr(common, "LAST_EDGES", last)
     pick = random.Random(2)
     edges = [(pick.randrange(300), pick.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(80)] + [(7, 7)]
     parent = {}
