@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 from lexspark.functions.tsquery import And, Node, Not, Or, Phrase, Term, as_tree
 from lexspark.functions.types import MAX_POSITION, let
 
-NO_POSITIONS = "array<int>"
-
 
 def _none() -> Column:
-    return F.array().cast(NO_POSITIONS)
+    return F.array().cast("array<int>")
 
 
 class VectorSource:

@@ -34,9 +34,9 @@ from lexspark.llm.common import components, may_match, written
 #: Counters of the sketch that orders shingles, and how many travel in one row. It sets the order only, never the result.
 SKETCH, CHUNK = 1 << 21, 1 << 14
 #: Entries of a list block, and sets of a family block.
-BLOCK, FAMILY_BLOCK = 64, 256
+BLOCK, FAMILY_BLOCK = 64, 512
 #: Per cent of the union from which a verified pair belongs to one family.
-FAMILY_PERCENT = 50
+FAMILY_PERCENT = 70
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -326,7 +326,7 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     postings = docs.select("t").mapInArrow(_prefixes(words, percent, often), "shingle long, n long, node long, pos long")
     entry = "shingle long, n long, node long, pos long, before long"
     lists = written(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_chain(percent), entry), "lists")
-    sources = nodes.where("node is not null").groupBy("node").agg(F.min("h").alias("h"))
+    sources = written(nodes.where("node is not null").groupBy("node").agg(F.min("h").alias("h")), "sources")
 
     def with_texts(wanted: DataFrame) -> DataFrame:
         """``wanted`` (with node) and the texts of its nodes. Texts travel, not sets: they are half the size."""
@@ -360,7 +360,8 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     final = components(links.union(more).union(written(inner, "links")))
 
     labels = nodes.join(final, "node", "left").select("id", "h", "n", F.coalesce("component", "node").alias("label"))
-    least = labels.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    # written, so that a class with a third of all rows meets it in a join that Spark can split
+    least = written(labels.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id")), "least")
     named = labels.where("label is not null").join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id", F.col("h").alias("text_hash"))
     return named.union(labels.where("label is null").select("id", "n", "id", "h"))
 

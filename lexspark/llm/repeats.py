@@ -107,7 +107,7 @@ class RunIndex:
             key = key * base + shifted(symbols, size)
             size += 1
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             fresh = np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
             numbers = np.cumsum(fresh)
@@ -251,7 +251,8 @@ def repeated_spans(df: DataFrame, text_col: str = "text", key: Column | None = N
     docs = df.withColumn("doc", F.xxhash64(raw)).withColumn("b", raw)
     found = written(docs.where(F.octet_length("b") >= span).select("doc", "b").mapInArrow(_find_regions(span), "doc long, start long, windows long, minimiser long, content long"), "regions")
 
-    often = found.groupBy("minimiser").agg(F.count("*").alias("c")).where("c > 1").select("minimiser")
+    # what hot keys are joined with is written first: then both sides are plain shuffles, which Spark can split
+    often = written(found.groupBy("minimiser").agg(F.count("*").alias("c")).where("c > 1").select("minimiser"), "often")
     shared = written(found.join(often, "minimiser", "left_semi"), "shared")
     distinct = shared.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows")).alias("at"))
     distinct = written(distinct, "distinct")
@@ -273,7 +274,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", key: Column | None = N
     # a text that occurs more than once is repeated at each of its windows
     whole = distinct.where("n > 1").select("minimiser", "content", F.lit(0).cast("long").alias("first"), (F.col("at.windows") - 1).alias("last"))
     runs = runs.join(whole.select("minimiser", "content"), ["minimiser", "content"], "left_anti").union(whole)
-    of_text = runs.groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    of_text = written(runs.groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     places = shared.join(of_text, ["minimiser", "content"]).select("doc", F.explode("runs").alias("r"), "start")
     per_doc = places.select("doc", F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last") + (span - 1)).alias("last")).alias("r")).groupBy("doc").agg(F.array_sort(F.collect_set("r")).alias("runs"))
     return docs, per_doc

@@ -184,7 +184,7 @@ def near_vectors(df: DataFrame, vector_col: str = "embedding", label_col: str =
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("peer is not null").select(F.col("node").alias("u"), F.col("peer").alias("v")))
     known = nodes.select("node", "n", "id").join(links, "node", "left").join(classes, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    least = known.groupBy("label").agg(F.min("id").alias("component_id"))
+    least = written(known.groupBy("label").agg(F.min("id").alias("component_id")), "least")
     known = known.join(least, "label").select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     own = rows.select("id", "node").join(known, "node", "left")
     component = F.coalesce("component_id", "id")

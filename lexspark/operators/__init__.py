@@ -1 +1 @@
-
+"""Operators over tables and posting tables."""

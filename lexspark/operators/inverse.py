@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import match
 from lexspark.functions.tsquery import And, Node, Not, Or, Term, as_tree, has_phrase, push_not, terms, true_of_empty
-from lexspark.functions.types import let
 
 PROGRAM = "array<struct<op:string,lexeme:string>>"
 
@@ -85,5 +84,3 @@ def percolate_scan(docs: DataFrame, queries: Iterable[tuple[int, str]], words: C
     tests = F.array(*[F.when(match.token_matches(words, text), F.lit(query_id).cast("long")) for query_id, text in queries])
     return docs.select(F.col(key), F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("query_id"))
 
-
-__all__ = ["let", "percolate", "percolate_scan", "program", "store_queries"]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import arrays, distance, match, rank
-from lexspark.functions.tsquery import And, Node, Not, Or, Phrase, Term, as_tree, has_phrase, required, requires_match, terms
+from lexspark.functions.tsquery import Node, Term, as_tree, requires_match, terms
 from lexspark.functions.types import positions_text
 from lexspark.operators.registry import CATEGORIES, CLASSES, EMPTY_ITEM, NORM_KEY, NULL_ITEM
 from lexspark.operators.search import ordered
@@ -342,5 +342,3 @@ def term_keys(index: PostingIndex, column: str, term: str) -> DataFrame:
     """Keys of rows that hold a term: the operand of set operations on postings."""
     return index._hits(column, [Term(term)]).select("key").distinct()
 
-
-__all__ = ["And", "Not", "Or", "Phrase", "PostingIndex", "build_index", "has_phrase", "required", "term_keys"]

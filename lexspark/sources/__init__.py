@@ -1 +1 @@
-
+"""Readers of text forms."""
