@@ -12,8 +12,10 @@ An index list holds (size, node, position), sorted by size. It is never turned i
 2. Lists that hold more than one family are read again in blocks. A block is skipped as a whole when its sizes
    are too small, when its positions leave too few shingles to reach the threshold, or when all its entries are in
    the reader's family. Pairs across families are verified one by one.
-3. Families of more than one class are compared within, in blocks of sets that travel once per pair of blocks. A
-   set is held against those of other classes only: the answers of its own class follow from similar sets.
+3. Families are compared within, in blocks of sets that travel once per pair of blocks. Links are counted for every
+   pair of sets: a set's overlaps with a block follow from those of the set before it, by the shingles in which
+   the two differ. Where only classes are asked for, families of one class are left out, and a set is held
+   against those of other classes only.
 
 Verification receives a set with its partners in order and computes the first overlap in full; for a
 partner that differs little from the one before, it adds and subtracts the overlap of the differences.
@@ -303,11 +305,101 @@ def _within(words: int, percent: int):
     return run
 
 
-def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``df``: (id, n_shingles, component_id, text_hash), ids as long.
+class _Lists:
+    """Which of some sets hold a shingle: one list for each shingle of theirs."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        self.shingles, cells = np.unique(np.concatenate(sets), return_inverse=True)
+        owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        self.owners = owners[np.argsort(cells, kind="stable")]
+        self.lengths = np.bincount(cells, minlength=len(self.shingles))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def cells(self, s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return at[self.shingles[at] == s]
+
+    def held(self, cells: np.ndarray) -> np.ndarray:
+        """How many of the cells each set holds."""
+        n = self.lengths[cells]
+        at = np.repeat(self.starts[cells] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owners[at], minlength=self.n)
+
+
+def _count_within(words: int, percent: int):
+    """Within one family, rows (u, v, null) that link sets of different classes, and rows (u, null, n) with the
+    rows that ``u`` links with in the two blocks; rows arrive by (family, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, key, rows = _Words(), None, []
+
+        def found() -> pa.RecordBatch:
+            rows.sort(key=lambda r: (len(r[2]), r[0]))
+            one_block = key[1] == key[2]
+            left = [r for r in rows if one_block or not r[3]]
+            right = rows if one_block else [r for r in rows if r[3]]
+            us, vs, ns = [], [], []
+            if left and right:
+                names = {x: k for k, x in enumerate(sorted({r[1] for r in rows}))}
+                labels = np.arange(len(names))  # what each class is joined to so far
+                classes, others = np.array([names[r[1]] for r in left]), _Lists([r[2] for r in left])
+                sizes, copies = np.array([len(r[2]) for r in left]), np.array([r[4] for r in left])
+                back, last, overlap = np.zeros(len(left), np.int64), None, None
+                for b, (node, label, y, _, many) in enumerate(right):
+                    cells = others.cells(y)
+                    if last is not None:
+                        gone, new = np.setdiff1d(last, cells, assume_unique=True), np.setdiff1d(cells, last, assume_unique=True)
+                    if last is not None and len(gone) + len(new) < len(cells):  # similar: only the differences are looked up
+                        overlap = overlap + others.held(new) - others.held(gone)
+                    else:
+                        overlap = others.held(cells)
+                    last = cells
+                    linked = 100 * overlap >= percent * (sizes + len(y) - overlap)
+                    if one_block:
+                        linked[b] = False
+                    else:
+                        back[linked] += many
+                    if n := int(copies[linked].sum()):
+                        us.append(node)
+                        vs.append(None)
+                        ns.append(n)
+                    own = labels[names[label]]
+                    for c in np.flatnonzero(linked & (labels[classes] != own)).tolist():
+                        if labels[classes[c]] != own:  # one link joins two classes; the rest follows
+                            us.append(left[c][0])
+                            vs.append(node)
+                            ns.append(None)
+                            labels[labels == labels[classes[c]]] = own
+                for c in np.flatnonzero(back).tolist():
+                    us.append(left[c][0])
+                    vs.append(None)
+                    ns.append(int(back[c]))
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], ["u", "v", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = shingle_sets(part.column("t").to_pylist(), words, known)
+                for s, family, i, j, *row in zip(sets, *(part.column(c).to_pylist() for c in ("family", "i", "j", "node", "label", "side", "copies"))):
+                    if (family, i, j) != key:
+                        if len(rows) > 1:
+                            yield found()
+                        key, rows = (family, i, j), []
+                    node, label, side, copies = row
+                    rows.append((node, label, s, side, copies))
+        if len(rows) > 1:
+            yield found()
+
+    return run
+
+
+def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """One row per row of ``df``: (id, n_shingles, component_id, text_hash, n_links), ids as long.
 
     Rows link when 100 * intersection >= percent * union of their shingle sets. ``component_id`` is the
-    smallest id reachable by links. A text with fewer words than a shingle is one shingle; null and
+    smallest id reachable by links, ``n_links`` the number of other rows that the row itself links with, copies
+    included; without ``count_links`` that column is left out and links are followed only as classes need. A text with fewer words than a shingle is one shingle; null and
     empty texts, and texts of white space, hold none and link with nothing. Rows that repeat an id are rows of
     their own; a null id is never the smallest one unless all ids of its class are null.
     """
@@ -326,10 +418,10 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     postings = docs.select("t").mapInArrow(_prefixes(words, percent, often), "shingle long, n long, node long, pos long")
     entry = "shingle long, n long, node long, pos long, before long"
     lists = written(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_chain(percent), entry), "lists")
-    sources = written(nodes.where("node is not null").groupBy("node").agg(F.min("h").alias("h")), "sources")
+    sources = written(nodes.where("node is not null").groupBy("node").agg(F.min("h").alias("h"), F.count("*").alias("copies")), "sources")
 
     def with_texts(wanted: DataFrame) -> DataFrame:
-        """``wanted`` (with node) and the texts of its nodes. Texts travel, not sets: they are half the size."""
+        """``wanted`` (with node), the texts of its nodes and how many rows have them. Texts travel, not sets: they are half the size."""
         wanted = written(wanted.join(sources, "node"), "wanted")
         return may_match(docs.select("h", "t"), "h", wanted, "h").dropDuplicates(["h"]).join(wanted, "h").drop("h")
 
@@ -347,23 +439,35 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     labelled = lists.join(families.withColumnRenamed("family", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_lists = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
     across = labelled.join(open_lists, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_across(percent), "u long, v long")
-    more = verified(written(across.distinct(), "pairs")).where("linked").select("u", "v")
+    more = verified(written(across.distinct(), "pairs")).where("linked").select("u", "v")  # each pair is here: families differ
 
     members = families.join(classes.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = members.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b")
+    sizes = members.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"))
+    sizes = sizes if count_links else sizes.where("a <> b")
     blocks = members.join(sizes.select("family", F.ceil(F.col("m") / FAMILY_BLOCK).cast("int").alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "node", "family", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side")
     )
     keys = ["family", "i", "j"]
-    inner = with_texts(dealt).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_within(words, percent), "u long, v long")
-    final = components(links.union(more).union(written(inner, "links")))
-
-    labels = nodes.join(final, "node", "left").select("id", "h", "n", F.coalesce("component", "node").alias("label"))
+    compared = with_texts(dealt).repartition(*keys).sortWithinPartitions(*keys)
+    if count_links:
+        inner = written(compared.mapInArrow(_count_within(words, percent), "u long, v long, n long"), "links")
+    else:
+        inner = written(compared.mapInArrow(_within(words, percent), "u long, v long"), "links")
+    final = components(links.union(more).union(inner.where("v is not null").select("u", "v")))
+    if count_links:
+        ends = more.union(more.select("v", "u")).join(sources.select(F.col("node").alias("v"), F.col("copies").alias("n")), "v")
+        counts = ends.select("u", "n").union(inner.where("v is null").select("u", "n")).groupBy("u").agg(F.sum("n").alias("linked"))
+        own = sources.join(counts.withColumnRenamed("u", "node"), "node", "left").select("node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        # written, as ``least`` below
+        nodes = nodes.join(written(own.where("n_links > 0"), "counts"), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    added = ["n_links"] if count_links else []
+
+    labels = nodes.join(final, "node", "left").select("id", "h", "n", F.coalesce("component", "node").alias("label"), *added)
     # written, so that a class with a third of all rows meets it in a join that Spark can split
     least = written(labels.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id")), "least")
-    named = labels.where("label is not null").join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id", F.col("h").alias("text_hash"))
-    return named.union(labels.where("label is null").select("id", "n", "id", "h"))
+    named = labels.where("label is not null").join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id", F.col("h").alias("text_hash"), *added)
+    return named.union(labels.where("label is null").select("id", "n", "id", "h", *added))
 
 
 def one_of_each_class(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -372,7 +476,7 @@ def one_of_each_class(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     Among rows of that id, the one with the smallest text hash; of rows equal in both, one. Texts without words
     link with nothing and stay, once for each id and text.
     """
-    classes = jaccard_classes(df, text_col, id_col, words, percent)
+    classes = jaccard_classes(df, text_col, id_col, words, percent, count_links=False)
     heads = classes.where(F.col("id").eqNullSafe(F.col("component_id")))
     own = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("text_hash"))
     kept = heads.groupBy("id", own.alias("own")).agg(F.min("text_hash").alias("kept_h")).select(F.col("id").alias("kept_id"), "kept_h").distinct()
@@ -383,5 +487,5 @@ def one_of_each_class(df: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of documents whose five-word shingle sets reach a similarity of 0.8."""
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    """Links between documents whose five-word shingle sets reach a similarity of 0.8: how many each has, and their classes."""
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")

@@ -68,6 +68,23 @@ def test_jaccard_classes_match_brute_force(spark, monkeypatch):
     assert found == brute.jaccard_classes(rows)
 
 
+def test_jaccard_links_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", 32)
+    rows = list(enumerate(near_copies(random.Random(13))))
+    # a chain in which each text links with its neighbours only, and all are of one class
+    chain = [" ".join(f"c{k}" for k in range(at, at + 104)) for at in range(0, 90, 8)]
+    rows += list(enumerate(chain + chain[:2], 1000))
+    sets = list(brute.word_sets(rows).items())
+    expected = dict.fromkeys(dict(rows), 0)
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                expected[a] += 1
+                expected[b] += 1
+    found = {r.id: r.n_links for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert found == expected and len(set(expected.values())) > 10
+
+
 def test_one_of_each_class(spark):
     rows = [(5, "a b c d e f", "x"), (3, "a b c d e f", "y"), (3, "a b c d e f", "y"), (9, "", "z"), (8, None, "z"), (1, "other words stand in this text", "z")]
     kept = jaccard.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string, owner string"))
