@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import bounded_sample, written
+from lexspark.llm.common import written
 
 CELLS = 1 << 16
 #: The name of text in no language of the model.
@@ -57,14 +57,37 @@ class LanguageModel:
         return len(cells), (total / len(cells)).tolist()
 
 
+def _sample_by_label(known: DataFrame, rows: int, least: int) -> list[Row]:
+    """Distinct rows (l, h, t) of ``known``: see ``fit_model``. Only hashes are shuffled to count the texts."""
+    many = {r.l: r.n for r in known.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n")).collect()}
+    names = {name for name, n in many.items() if n >= least}
+    if not names:
+        return []
+    share = max(least, rows // len(names))
+    # thresholds leave about half as many again as are wanted, and rare languages whole
+    whole = sum(many.values())
+    bound = {name: min(1.0, max((1.5 * rows + 50) / whole, (1.5 * share + 20) / many[name])) for name in names}
+    limits = known.sparkSession.createDataFrame([(name, min((1 << 63) - 1, int((1 << 63) * b))) for name, b in bound.items()], "l string, below long")
+    near = known.join(F.broadcast(limits), "l").where(F.shiftrightunsigned("h", 1) <= F.col("below"))
+    held = near.groupBy("l", "h").agg(F.first("t").alias("t")).collect()
+    held.sort(key=lambda r: ((r.h & ((1 << 64) - 1)) >> 1, r.l))
+    chosen, taken = [], dict.fromkeys(names, 0)
+    for i, r in enumerate(held):
+        if i < rows or taken[r.l] < share:
+            taken[r.l] += 1
+            chosen.append(r)
+    return chosen
+
+
 def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = 2000, max_chars: int = 20_000, least: int = 5) -> LanguageModel:
-    """Fits on at most ``rows`` labelled rows of at most ``max_chars`` characters, those with the smallest hashes.
+    """Fits on distinct labelled texts of at most ``max_chars`` characters, those with the smallest hashes.
 
-    Languages with fewer than ``least`` rows in the sample are left out.
+    Of all texts at most ``rows`` are taken, and of each language that has fewer of them than its even share of ``rows``
+    (``least`` at least), texts up to that share. Languages with fewer than ``least`` texts in the table are left out.
     """
     text, label = F.col(f"`{text_col}`"), F.lower(F.col(f"`{label_col}`"))
-    known = labelled.where(text.isNotNull() & label.isNotNull() & (F.length(text) <= max_chars))
-    sample = bounded_sample(known.select(text.alias("t"), label.alias("l")), F.col("t"), rows).collect()
+    known = labelled.where(text.isNotNull() & label.isNotNull() & (F.length(text) <= max_chars)).select(text.alias("t"), label.alias("l"))
+    sample = _sample_by_label(known.withColumn("h", F.xxhash64("t")), rows, least)
     counts: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
     for r in sample:
@@ -174,10 +197,15 @@ def page_text(html: Column) -> Column:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The documents in a language of the model; ``lang`` is what was declared, ``source`` stands for the host."""
+    """The documents in a language of the model; ``lang`` is what was declared, ``source`` stands for the host.
+
+    Documents whose declared language has no model stay: nothing can be said against them.
+    """
     model = fit_model(docs)
     found = identify(docs, model, F.col("text"), declared=F.col("lang"), host=F.col("source"), with_suffix=False)
-    return found.where("accepted").select(*docs.columns)
+    declared = F.lower("lang")
+    unknown = declared.isNotNull() & (declared != "") & (declared != NONE) & ~declared.isin(model.languages)
+    return found.where(F.col("accepted") | F.coalesce(unknown, F.lit(False))).select(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

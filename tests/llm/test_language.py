@@ -38,6 +38,20 @@ def test_held_out_accuracy(spark, model):
     assert all(r.lang_found == r.lang and r.accepted for r in found)
 
 
+def test_rare_languages_have_models(spark):
+    pick = random.Random(9)
+    rows = [(text_in(pick, "aa"), "aa") for _ in range(2000)] + [(text_in(pick, "bb"), "BB") for _ in range(6)] + [(text_in(pick, "cc"), "cc")] * 50
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert langid.fit_model(df, rows=80).languages == ["aa", "bb"]  # cc has one distinct text
+
+
+def test_documents_in_a_declared_language_without_a_model_stay(spark):
+    pick = random.Random(10)
+    rows = [(i, text_in(pick, "aa"), "aa", "s") for i in range(20)] + [(20, "漢字" * 40, "zz", "s"), (21, "漢字" * 40, None, "s")]
+    kept = langid.accepted_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(21))
+
+
 def test_evidence_beside_the_text(spark, model):
     pick = random.Random(3)
     rows = [(i, text_in(pick, "bb"), "bb-XX", "www.site.bb") for i in range(40)] + [(100 + i, text_in(pick, "cc"), "cc", "other.site.cc") for i in range(40)]
