@@ -153,8 +153,8 @@ def _stars(edges: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def may_match(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows of ``df`` whose hashed ``key`` may be one of ``wanted``'s: all that are, and few others while few are wanted.
+def marked(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: may the hashed ``key`` be one of ``wanted``'s? True for all that are, and for few others while few are wanted.
 
     Keys are 64-bit hashes. The filter has a fixed size, so broadcasting it is safe at any scale.
     """
@@ -162,5 +162,10 @@ def may_match(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Da
     bits = wanted.groupBy(F.bitmap_bucket_number(slot(wanted_key)).alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(wanted_key))).alias("__m"))
     bit = F.bitmap_bit_position(slot(key))
     byte = F.conv(F.hex(F.substr(F.col("__m"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
-    return df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(key)) == F.col("__b")).where(hit).drop("__b", "__m")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0, F.lit(False))
+    return df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(key)) == F.col("__b"), "left").withColumn(name, hit).drop("__b", "__m")
+
+
+def may_match(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows of ``df`` that ``marked`` tells to be possible."""
+    return marked(df, key, wanted, wanted_key, "__may").where("__may").drop("__may")

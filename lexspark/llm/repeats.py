@@ -3,15 +3,20 @@
 Every string of ``span`` bytes is filed under its minimiser: the ``GRAM``-byte substring with the smallest hash.
 Equal strings have equal minimisers, so strings under different ones need never be compared. A document
 falls into regions, runs of window starts with one minimiser; a region that occurs once, under a minimiser
-that occurs once, holds nothing repeated. The others are collapsed to distinct texts with a count: a text
-that occurs twice is repeated at every one of its windows. Distinct texts under one minimiser are indexed
-together, in batches of bounded size: suffixes are sorted, the Burrows-Wheeler transform is cut into
-runs, and suffix positions are sampled at the first and last place of each run. The matching statistics of the
-indexed text against all other places follow from the samples: at a run's ends the common prefix with the
-neighbouring suffix is measured, and within runs it falls by one from each text position to the next.
-
-Groups of very many distinct texts under one minimiser (a common line in different surroundings) are
-filed once more, under a second minimiser with another hash, before they are indexed.
+that occurs once, holds nothing repeated. Equal documents are cut into regions once, and regions with equal
+texts are collapsed to one with a count: a text that occurs twice is repeated at every one of its windows.
+
+Distinct texts under one minimiser are indexed together, in batches of bounded size. An index keeps the texts
+and the runs of their Burrows-Wheeler transform, with the text place sampled at both ends of each run. The
+matching statistics of the texts, each against all other places, are read off these samples in one stream.
+
+All equal windows have the minimiser at the same place. Groups of more than ``MANY`` distinct texts (a common
+passage in different surroundings) are therefore split by what windows at one place share: first cells of
+``CELL`` neighbouring windows are counted, then the single windows of those cells that differ but share a core.
+Both are grouped counts, combined before the shuffle, so no group has to fit in a task.
+
+Equality of region texts, cells and windows is by 64-bit hashes within one minimiser's group (128 bits together);
+equality of documents is by a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -24,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import may_match, written
+from lexspark.llm.common import marked, may_match, written
 
 GRAM = 64
 #: Window starts handled at once; places within a piece must fit in PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 20, 21
-#: Bytes of text under one index, and the distinct texts from which a minimiser's group is filed again.
-BATCH_BYTES, MANY = 1 << 20, 1024
+#: Bytes of text under one index, the distinct texts from which a minimiser's group is split, and the windows of a cell.
+BATCH_BYTES, MANY, CELL = 1 << 20, 512, 16
+#: The shortest repeated passage: bytes of a window, and words of what the windows cover.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -85,41 +92,60 @@ def regions(raw: bytes, span: int, seed: int = 0) -> Iterator[tuple[int, int, in
 
 
 class RunIndex:
-    """A run-length Burrows-Wheeler index over texts, each closed by an end mark of its own."""
+    """A run-length Burrows-Wheeler index over texts, each closed by an end mark of its own.
+
+    What is kept: the symbols (``text``), and per run of the transform its symbol (``heads``), its length
+    (``lengths``) and the text places of its first and last suffix (``run_first``, ``run_last``).
+    """
 
     def __init__(self, texts: list[bytes]):
-        lengths = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.starts = self.ends - lengths
-        n, marks = int(self.ends[-1]) + 1, len(texts)
-        rank = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + marks
-        rank[self.ends] = np.arange(marks)
-        self.text = rank
-        self.suffixes, self.run_first, self.run_last = self._runs(rank, n)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.starts = self.ends - sizes
+        marks = len(texts)
+        self.text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + marks
+        self.text[self.ends] = np.arange(marks)
+        order = self._sorted(np.maximum(self.text - marks, -1) + 1, self.ends)
+        before = self.text[order - 1]
+        cuts = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
+        self.heads, self.lengths = before[cuts], np.diff(np.concatenate([cuts, [len(order)]]))
+        self.run_first, self.run_last = order[cuts], order[cuts + self.lengths - 1]
 
     @staticmethod
-    def _runs(symbols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix order, and the places in it where runs of the transform begin and end."""
-        shifted = lambda r, k: np.concatenate([r[k:], np.full(min(k, n), -1)])[:n] + 1
-        base = int(symbols.max()) + 2
-        key, size = symbols + 1, 1
-        while size < 4:  # four symbols at first
-            key = key * base + shifted(symbols, size)
-            size += 1
+    def _sorted(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Suffix order by doubling; in each round only suffixes that are still tied are sorted. ``symbols`` are 0 at
+        end marks, which order by place."""
+        n = len(symbols)
+        places = np.arange(n)
+        key = np.zeros(n, np.int64)
+        size = 7
+        padded = np.concatenate([symbols, np.zeros(size, np.int64)])
+        stop = np.zeros(n + size, bool)
+        stop[ends] = True
+        live = np.ones(n, bool)  # nothing counts behind an end mark
+        for k in range(size):
+            key = key * 257 + np.where(live, padded[k : k + n], 0)
+            live &= ~stop[k : k + n]
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        rank = np.empty(n, np.int64)
+        held = places  # places in the order that are still tied
+        # suffixes that met their end mark are told apart by it, so by place: the stable sort has done that
+        done = ~live[order]
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | done[1:] | done[:-1]])
         while True:
-            order = np.argsort(key)
-            sorted_key = key[order]
-            fresh = np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
-            numbers = np.cumsum(fresh)
-            rank = np.empty(n, np.int64)
-            rank[order] = numbers
-            if numbers[-1] == n - 1:
-                break
-            key = rank * (n + 1) + shifted(rank, size)
+            head = np.maximum.accumulate(np.where(fresh, held, 0))
+            rank[order[held]] = head
+            tied = ~(fresh & np.concatenate([fresh[1:], [True]]))
+            held = held[tied]
+            if not len(held):
+                return order
+            s = order[held]
+            key = rank[s] * (n + 1) + rank[s + size]  # tied suffixes reach no end mark within ``size``
+            o = np.argsort(key, kind="stable")
+            key, order[held] = key[o], s[o]
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
             size *= 2
-        before = symbols[order - 1]  # the transform: the symbol before each suffix
-        change = np.flatnonzero(before[1:] != before[:-1]) + 1
-        return order, np.concatenate([[0], change]), np.concatenate([change - 1, [n - 1]])
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes at a and b; end marks differ, so they stop it."""
@@ -139,16 +165,17 @@ class RunIndex:
     def matching_statistics(self) -> np.ndarray:
         """For each place, the length of the longest string that starts there and also starts elsewhere.
 
-        A suffix whose neighbour is preceded by the same symbol has its common prefix from the place before,
-        less one; only at the sampled ends of runs is it measured.
+        The best partner of a suffix is a neighbour in suffix order. A suffix whose neighbour is preceded by the same
+        symbol has its common prefix from the place before, less one, so prefixes are measured only where two
+        runs meet, between the last sample of one and the first of the next, and carried on from place to place.
         """
-        n, order = len(self.text), self.suffixes
+        n = len(self.text)
         best = np.zeros(n, np.int64)
-        for sampled, step in ((self.run_first, -1), (self.run_last, 1)):
-            rows = sampled[(sampled + step >= 0) & (sampled + step < n)]
-            here, there = order[rows], order[rows + step]
+        above, below = self.run_last[:-1], self.run_first[1:]
+        size = self._common(above, below)
+        for here in (above, below):
             reach = np.full(n, -(1 << 40))
-            reach[here] = self._common(here, there) + here  # place where the match ends: constant along reducible places
+            reach[here] = size + here  # place where the match ends: constant along the places that follow
             best = np.maximum(best, np.maximum.accumulate(reach) - np.arange(n))
         return np.maximum(best, 0)
 
@@ -187,150 +214,245 @@ def _find_regions(span: int):
     return run
 
 
-def _file_again(span: int):
-    """Regions of large groups, under (first minimiser, second minimiser)."""
+def _hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
+def _cells(span: int):
+    """Cells of texts: neighbouring windows by their distance d from the minimiser, under the bytes that all such windows share."""
+    names = ["minimiser", "content", "first", "windows", "core", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, content, shift, n, raw in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "content", "shift", "n", "bytes"))):
-                for start, windows, second in regions(raw, span, seed=1):
-                    pair = xxhash.xxh3_64_intdigest(name.to_bytes(8, "little", signed=True) + second.to_bytes(8, "little", signed=True)) - (1 << 63)
-                    rows.append((pair, content, name, shift + start, n, raw[start : start + windows + span - 1]))
-                if len(rows) > 5_000:
-                    yield _texts(rows)
-                    rows = []
-            if rows:
-                yield _texts(rows)
+            for name, content, raw in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "content", "bytes"))):
+                windows = len(raw) - span + 1
+                at = int((_gram_hashes(np.frombuffer(raw[:span], np.uint8), 0) >> np.uint64(PLACE_BITS)).argmin())
+                mark = name.to_bytes(8, "little", signed=True)
+                for c in range(max(0, at - windows + 1) // CELL, at // CELL + 1):
+                    low, high = max(0, at - c * CELL - CELL + 1), min(windows - 1, at - c * CELL)
+                    core = raw[at - c * CELL : at - c * CELL - CELL + 1 + span]
+                    rows.append((name, content, low, high - low + 1, _hash(mark + c.to_bytes(8, "little") + core), _hash(mark + (at - low).to_bytes(8, "little") + raw[low : high + span])))
+            cols = list(zip(*rows)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
     return run
 
 
-TEXTS = "filed long, content long, minimiser long, shift long, n long, bytes binary"
+def _windows(span: int):
+    """The single windows of cells."""
+    names = ["minimiser", "content", "first", "window"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part, rows = batch.slice(at, 1024), []
+                for name, content, raw, cells in zip(*(part.column(c).to_pylist() for c in ("minimiser", "content", "bytes", "cells"))):
+                    rows += [(name, content, w, _hash(raw[w : w + span])) for cell in cells for w in range(cell["first"], cell["first"] + cell["windows"])]
+                cols = list(zip(*rows)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
+    return run
 
-def _texts(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], [x.split()[0] for x in TEXTS.split(", ")])
+
+def _split_groups(texts: DataFrame, span: int) -> DataFrame:
+    """Rows (minimiser, content, first, last) of repeated windows in groups of any size."""
+    cells = written(texts.mapInArrow(_cells(span), "minimiser long, content long, first long, windows long, core long, cell long"), "cells")
+    counts = written(cells.groupBy("minimiser", "core", "cell").agg(F.count("*").alias("c")), "cell_counts")
+    equal = cells.join(counts.where("c > 1").select("minimiser", "core", "cell"), ["minimiser", "core", "cell"], "left_semi")
+    mixed = written(counts.groupBy("minimiser", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("minimiser", "core"), "cores")
+    differ = cells.join(mixed, ["minimiser", "core"], "left_semi").groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "windows")).alias("cells"))
+    single = texts.join(differ, ["minimiser", "content"]).select("minimiser", "content", "bytes", "cells").mapInArrow(_windows(span), "minimiser long, content long, first long, window long")
+    single = written(single, "windows")
+    again = written(single.groupBy("minimiser", "window").agg(F.count("*").alias("c")).where("c > 1").select("minimiser", "window"), "again")
+    runs = single.join(again, ["minimiser", "window"], "left_semi").select("minimiser", "content", "first", F.col("first").alias("last"))
+    return runs.union(equal.select("minimiser", "content", "first", (F.col("first") + F.col("windows") - 1).alias("last")))
 
 
 def _index_groups(span: int):
     """Window runs of each text that are repeated, from one index per batch of whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []  # (filed, content, minimiser, shift, bytes) of whole groups and of the one still read
-        size = cut = 0  # cut: where the last group begins
+        waiting: list[tuple] = []  # (minimiser, content, bytes) of whole groups and of the one still read
+        size = 0
 
         def found(rows: list[tuple]) -> pa.RecordBatch:
             out = []
-            for row, runs in zip(rows, RunIndex([r[4] for r in rows]).repeated(span) if rows else []):
-                out += [(row[2], row[1], row[3] + a, row[3] + b) for a, b in runs]
+            for row, runs in zip(rows, RunIndex([r[2] for r in rows]).repeated(span) if rows else []):
+                out += [(row[0], row[1], a, b) for a, b in runs]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["minimiser", "content", "first", "last"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("filed", "content", "minimiser", "shift", "bytes"))):
-                if waiting and waiting[-1][0] != row[0]:
-                    if size > BATCH_BYTES:
-                        yield found(waiting)
-                        waiting, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "content", "bytes"))):
+                if size > BATCH_BYTES and waiting[-1][0] != row[0]:
+                    yield found(waiting)
+                    waiting, size = [], 0
                 waiting.append(row)
-                size += len(row[4])
+                size += len(row[2])
         yield found(waiting)
 
     return run
 
 
-def repeated_spans(df: DataFrame, text_col: str = "text", key: Column | None = None, span: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): documents with a ``doc`` key (hash of the text), and byte runs to remove per key.
+def _window_runs(once: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """(doc, first, last): runs of window starts whose ``span`` bytes also start elsewhere in ``once``.
 
-    ``spans`` has (doc, runs: array<struct<first, last>> of byte places, sorted, merged). Rows with equal texts
-    share a key: their runs are the same. One text that stands twice is repeated throughout.
+    ``once`` has (doc, b) of each text once; ``texts`` has the same rows, maybe repeated.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    raw = F.coalesce(text.cast("binary"), F.lit(b""))
-    docs = df.withColumn("doc", F.xxhash64(raw)).withColumn("b", raw)
-    found = written(docs.where(F.octet_length("b") >= span).select("doc", "b").mapInArrow(_find_regions(span), "doc long, start long, windows long, minimiser long, content long"), "regions")
-
+    found = written(once.where(F.octet_length("b") >= span).mapInArrow(_find_regions(span), "doc long, start long, windows long, minimiser long, content long"), "regions")
     # what hot keys are joined with is written first: then both sides are plain shuffles, which Spark can split
     often = written(found.groupBy("minimiser").agg(F.count("*").alias("c")).where("c > 1").select("minimiser"), "often")
     shared = written(found.join(often, "minimiser", "left_semi"), "shared")
-    distinct = shared.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows")).alias("at"))
-    distinct = written(distinct, "distinct")
-    groups = distinct.groupBy("minimiser").agg(F.count("*").alias("texts")).where("texts > 1")
-    wanted = distinct.join(groups, "minimiser")
-    by_doc = written(
-        wanted.groupBy(F.col("at.doc").alias("w")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "minimiser", "content", "n", "texts")).alias("x")), "wanted",
-    )
-    sources = may_match(docs.where(F.octet_length("b") >= span).select("doc", "b"), "doc", by_doc, "w").join(by_doc, F.col("doc") == F.col("w"))
-    cut = F.transform("x", lambda r: F.struct(r.minimiser.alias("minimiser"), r.content.alias("content"), r.n.alias("n"), r.texts.alias("texts"), F.substr(F.col("b"), (r.start + 1).cast("int"), (r.windows + (span - 1)).cast("int")).alias("bytes")))
-    # equal documents bring equal texts: one of each stays
-    texts = sources.dropDuplicates(["doc"]).select(F.explode(cut).alias("r")).select("r.*").withColumn("shift", F.lit(0).cast("long"))
-    names = [x.split()[0] for x in TEXTS.split(", ")]
-    texts = written(texts, "texts")
-    again = texts.where(F.col("texts") > MANY).select("minimiser", "content", "shift", "n", "bytes").mapInArrow(_file_again(span), TEXTS)
-    filed = texts.where(F.col("texts") <= MANY).withColumn("filed", F.col("minimiser")).select(names).union(again.select(names))
-    runs = filed.repartition("filed").sortWithinPartitions("filed").mapInArrow(_index_groups(span), "minimiser long, content long, first long, last long")
-
+    distinct = written(shared.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows")).alias("at")), "distinct")
+    groups = written(distinct.groupBy("minimiser").agg(F.count("*").alias("texts")).where("texts > 1"), "groups")
+    place = F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "minimiser", "content", "texts")
+    by_doc = written(distinct.join(groups, "minimiser").groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(place).alias("x")), "wanted")
+    sources = may_match(texts, "doc", by_doc, "doc").dropDuplicates(["doc"]).join(by_doc, "doc")
+    cut = F.transform("x", lambda r: F.struct(r.minimiser.alias("minimiser"), r.content.alias("content"), r.texts.alias("texts"), F.substr(F.col("b"), (r.start + 1).cast("int"), (r.windows + (span - 1)).cast("int")).alias("bytes")))
+    cut_texts = written(sources.select(F.explode(cut).alias("r")).select("r.*"), "texts")
+
+    small = cut_texts.where(F.col("texts") <= MANY).repartition("minimiser").sortWithinPartitions("minimiser")
+    runs = small.mapInArrow(_index_groups(span), "minimiser long, content long, first long, last long").union(_split_groups(cut_texts.where(F.col("texts") > MANY), span))
     # a text that occurs more than once is repeated at each of its windows
     whole = distinct.where("n > 1").select("minimiser", "content", F.lit(0).cast("long").alias("first"), (F.col("at.windows") - 1).alias("last"))
-    runs = runs.join(whole.select("minimiser", "content"), ["minimiser", "content"], "left_anti").union(whole)
-    of_text = written(runs.groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    of_text = written(runs.union(whole).groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     places = shared.join(of_text, ["minimiser", "content"]).select("doc", F.explode("runs").alias("r"), "start")
-    per_doc = places.select("doc", F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last") + (span - 1)).alias("last")).alias("r")).groupBy("doc").agg(F.array_sort(F.collect_set("r")).alias("runs"))
-    return docs, per_doc
+    return places.select("doc", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last"))
+
+
+def _joined(runs: list | None) -> list[tuple[int, int]]:
+    """Maximal runs (first, last) of window starts."""
+    out: list[list[int]] = []
+    for r in sorted((r["first"], r["last"]) for r in runs or ()):
+        if out and r[0] <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], r[1])
+        else:
+            out.append(list(r))
+    return [(a, b) for a, b in out]
 
 
-def _merged(runs) -> list[tuple[int, int]]:
-    """Maximal byte runs (first, end) of sorted overlapping or touching ones."""
+def _covered(runs: list | None, span: int) -> list[tuple[int, int]]:
+    """Maximal byte runs [first, end) that the windows cover."""
     out: list[list[int]] = []
-    for r in runs or ():
-        if out and r["first"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], r["last"] + 1)
+    for first, last in _joined(runs):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], last + span)
         else:
-            out.append([r["first"], r["last"] + 1])
+            out.append([first, last + span])
     return [(a, b) for a, b in out]
 
 
-def _remove(carry: list[str], as_text: bool):
+def _stretches(short: int, span: int):
+    """(doc, at, piece, b): stretches of at least ``span`` bytes whose windows of ``short`` bytes are all repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(low, 256), []
+                for doc, raw, runs in zip(*(part.column(c).to_pylist() for c in ("doc", "b", "runs"))):
+                    for first, last in _joined(runs):
+                        if last + short - first >= span:
+                            rows.append((doc, first, _hash(doc.to_bytes(8, "little", signed=True) + first.to_bytes(8, "little")), raw[first : last + short]))
+                cols = list(zip(*rows)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc", "at", "piece", "b"])
+
+    return run
+
+
+def _per_doc(runs: DataFrame, name: str) -> DataFrame:
+    return written(runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs")), name)
+
+
+def repeated_windows(docs: DataFrame, span: int, short: int | None = None) -> DataFrame:
+    """(doc, runs, short_runs) of ``docs`` (doc: a hash of the text, b: its bytes): array<struct<first, last>> of window starts.
+
+    ``runs`` are those of ``span`` bytes. With ``short``, a smaller span, ``short_runs`` are those of that span: it is
+    searched first, and ``span`` only in stretches where every shorter window is repeated, which leaves nothing out.
+    """
+    least = short or span
+    texts = docs.where(F.octet_length("b") >= least).select("doc", "b")
+    copies = written(texts.groupBy("doc").agg(F.count("*").alias("c"), F.max(F.octet_length("b")).cast("long").alias("size")).where("c > 1"), "copies")
+    told = marked(texts, "doc", copies, "doc", "may")
+    once = told.where("not may").select("doc", "b").union(told.where("may").select("doc", "b").dropDuplicates(["doc"]))
+    # a text that stands twice is repeated throughout
+    whole = lambda width: copies.where(F.col("size") >= width).select("doc", F.lit(0).cast("long").alias("first"), (F.col("size") - width).alias("last"))
+    first = _per_doc(_window_runs(once, texts, least).union(whole(least)), "doc_runs")
+    if short is None:
+        return first.withColumn("short_runs", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
+    windows = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
+    long = first.where(windows > span - short)
+    sources = may_match(texts, "doc", long, "doc").dropDuplicates(["doc"]).join(long, "doc")
+    pieces = written(sources.select("doc", "b", "runs").mapInArrow(_stretches(short, span), "doc long, at long, piece long, b binary"), "stretches")
+    part = pieces.select(F.col("piece").alias("doc"), "b")
+    found = _window_runs(part, part, span).withColumnRenamed("doc", "piece").join(pieces.select("piece", "doc", "at"), "piece")
+    second = _per_doc(found.select("doc", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")).union(whole(span)), "doc_runs")
+    return first.withColumnRenamed("runs", "short_runs").join(second, "doc", "left").select("doc", "runs", "short_runs")
+
+
+SPANS = "array<struct<first:bigint,end:bigint>>"
+
+
+def _remove(carry: list[str], as_text: bool, span: int, words: int, short: int | None, short_words: int):
+    def enough(raw: bytes, cuts: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+        return [(a, b) for a, b in cuts if not least or len(raw[a:b].split()) >= least]
+
+    def listed(spans: list) -> pa.Array:
+        return pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                spans = [_merged(r) for r in part.column("runs").to_pylist()]
+                texts = part.column("b").to_pylist()
+                spans = [enough(raw, _covered(r, span), words) for raw, r in zip(texts, part.column("runs").to_pylist())]
                 kept = []
-                for raw, cuts in zip(part.column("b").to_pylist(), spans):
+                for raw, cuts in zip(texts, spans):
                     edges = [0, *(x for c in cuts for x in c), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2])))
-                listed = pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
                 column = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), column, listed], [*carry, "kept", "spans"])
+                passages = [enough(raw, _covered(r, short), short_words) for raw, r in zip(texts, part.column("short_runs").to_pylist())] if short else [[]] * len(texts)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), column, listed(spans), listed(passages)], [*carry, "kept", "spans", "passages"])
 
     return run
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", span: int = 400, as_text: bool = False) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, text_col: str = "text", span: int = 400, as_text: bool = False, words: int = 0, passage_bytes: int | None = None, passage_words: int = PASSAGE_WORDS,
+) -> DataFrame:
     """``df`` without its text, and with ``kept`` (the bytes that stay) and ``spans`` (removed byte runs [first, end)).
 
-    With ``as_text``, ``kept`` is a string, without the rests of characters that a cut splits.
-
     A byte goes if a string of ``span`` bytes that covers it also starts anywhere else, in the same text or another;
-    strings are judged on the input. Null texts are empty and keep nothing; rows that repeat a text lose it where
-    it has ``span`` bytes or more. All other columns stay; ones named ``kept`` or ``spans`` are replaced.
+    strings are judged on the input. With ``words``, only where such strings together cover that many words in a
+    row or more. With ``as_text``, ``kept`` is a string, without the rests of characters that a cut splits.
+
+    With ``passage_bytes``, smaller than ``span``, a third column ``passages`` lists (without removing them) the runs that
+    are covered by repeated strings of that many bytes and hold at least ``passage_words`` words.
+
+    Null texts are empty and keep nothing; empty and short texts stay; rows that repeat a text lose it where it has
+    ``span`` bytes or more. All other columns stay; ones named ``kept``, ``spans`` or ``passages`` are replaced.
     """
-    carry = [c for c in df.columns if c not in (text_col, "kept", "spans")]
-    named = df.select(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(carry)], F.col(f"`{text_col}`").cast("string").alias("t"))
-    docs, per_doc = repeated_spans(named, "t", span=span)
-    touched = docs.drop("t").join(per_doc.withColumnRenamed("doc", "p"), F.col("doc") == F.col("p"), "left").drop("doc", "p")
+    made = ["kept", "spans", *(["passages"] if passage_bytes else [])]
+    carry = [c for c in df.columns if c not in (text_col, *made)]
+    raw = F.coalesce(F.col(f"`{text_col}`").cast("string").cast("binary"), F.lit(b""))
+    named = df.select(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(carry)], F.xxhash64(raw).alias("doc"), raw.alias("b"))
+    runs = written(repeated_windows(named, span, passage_bytes), "doc_spans").withColumnRenamed("doc", "p")
+    touched = named.join(runs, F.col("doc") == F.col("p"), "left").drop("doc", "p")
     slots = [f"o{i}" for i in range(len(carry))]
     types = {f.name: f.dataType.simpleString() for f in named.schema}
-    schema = ", ".join([*(f"{s} {types[s]}" for s in slots), f"kept {'string' if as_text else 'binary'}, spans array<struct<first:bigint,end:bigint>>"])
-    out = touched.select(*slots, "b", "runs").mapInArrow(_remove(slots, as_text), schema)
-    return out.select(*[F.col(s).alias(c) for s, c in zip(slots, carry)], "kept", "spans")
+    schema = ", ".join([*(f"{s} {types[s]}" for s in slots), f"kept {'string' if as_text else 'binary'}, spans {SPANS}, passages {SPANS}"])
+    out = touched.select(*slots, "b", "runs", "short_runs").mapInArrow(_remove(slots, as_text, span, words, passage_bytes, passage_words), schema)
+    return out.select(*[F.col(s).alias(c) for s, c in zip(slots, carry)], *made)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that stand elsewhere too, as digests."""
+    """Documents without the bytes of 400-byte strings that stand elsewhere too, as digests.
+
+    Besides: how many bytes and runs are in repeated passages of over 50 words, by strings of 200 bytes. No row is
+    left out: null and empty texts keep nothing and lose nothing.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    return remove_repeats(docs).select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    covered = F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+    return remove_repeats(docs, passage_bytes=PASSAGE_BYTES).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        covered.alias("passage_bytes"), F.size("passages").cast("long").alias("n_passages"),
+    )

@@ -57,3 +57,19 @@ def repeated_bytes(texts, span):
                 flags[i : i + span] = [True] * span
         out.append(flags)
     return out
+
+
+def repeated_passages(texts, span, words):
+    """The same, without runs of such bytes that hold fewer than ``words`` words."""
+    out = []
+    for text, flags in zip(texts, repeated_bytes(texts, span)):
+        raw, edges = (text or "").encode(), [0, *flags, 0]
+        starts = [i for i in range(len(raw)) if edges[i + 1] and not edges[i]]
+        for a in starts:
+            b = a
+            while b < len(raw) and flags[b]:
+                b += 1
+            if len(raw[a:b].split()) < words:
+                flags[a:b] = [False] * (b - a)
+        out.append(flags)
+    return out

@@ -176,6 +176,47 @@ def test_remove_repeats_matches_brute_force(spark, monkeypatch):
     assert repeats.remove_repeats(df.limit(0), span=span).count() == 0
 
 
+def test_passages_of_just_over_fifty_words(spark):
+    """Planted passages of 50 to 60 words in different surroundings: those of over 50 go, with or without the longer span."""
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(pick.randrange(4, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    planted = {n: prose(n) for n in range(50, 61)}
+    texts = [f"{prose(80)}{k} {p} {k}{prose(70)}" for p in planted.values() for k in range(2)] + [prose(150) for _ in range(8)] + ["", None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("passages", F.lit(1))
+    flags = brute.repeated_passages(texts, 200, 51)
+    expected = [bytes(b for b, gone in zip((t or "").encode(), f) if not gone) for t, f in zip(texts, flags)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(df, span=200, words=51).collect()}
+    assert [got[d].kept for d in range(len(texts))] == expected and got[0].passages == 1
+    for n, p in planted.items():
+        assert all((p not in expected[d].decode()) == (n > 50) for d, t in enumerate(texts) if p in (t or ""))
+    both = {r.doc_id: r for r in repeats.remove_repeats(df, span=400, passage_bytes=200).collect()}
+    long = brute.repeated_bytes(texts, 400)
+    for d, t in enumerate(texts):
+        assert both[d].kept == bytes(b for b, gone in zip((t or "").encode(), long[d]) if not gone)
+        assert sum(p["end"] - p["first"] for p in both[d].passages) == sum(flags[d])
+
+
+def test_one_passage_in_many_documents(spark, monkeypatch):
+    """A group far beyond what one index takes, split down to single windows; neighbours agree on some letters."""
+    monkeypatch.setattr(repeats, "MANY", 8)
+    pick = random.Random(6)
+    word = lambda n: "".join(pick.choice("abc") for _ in range(n))
+    common, ends = word(300), [word(30) for _ in range(4)]
+    texts = [word(pick.randrange(150)) + pick.choice(ends)[: pick.randrange(31)] + common + pick.choice(ends) + word(pick.randrange(150)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for span in (100, 250):
+        flags = brute.repeated_bytes(texts, span)
+        for r in repeats.remove_repeats(df, span=span).collect():
+            assert r.kept == bytes(b for b, gone in zip(texts[r.doc_id].encode(), flags[r.doc_id]) if not gone)
+
+
+def test_run_index_is_run_compressed():
+    text = bytes(random.Random(9).choice(b"abcd") for _ in range(500))
+    index = repeats.RunIndex([text[k:] + b"x" for k in range(40)])
+    assert len(index.heads) < len(index.text) // 8 and index.lengths.sum() == len(index.text)
+
+
 def test_regions_cover_each_window_once(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 500)
     raw = bytes(random.Random(1).choice(b"abc") for _ in range(2345))
