@@ -10,7 +10,7 @@ from lexspark.llm.jaccard import one_of_each_class
 from lexspark.llm.langid import accepted_documents
 from lexspark.llm.lines import dedup_lines
 from lexspark.llm.packing import packed_documents
-from lexspark.llm.repeats import remove_repeats
+from lexspark.llm.repeats import PASSAGE_BYTES, PASSAGE_WORDS, remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,8 +36,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose passages that repeat; a character that is cut in two goes."""
-    return _as_documents(remove_repeats(docs.select(*COLUMNS), as_text=True).withColumnRenamed("kept", "text"))
+    """Texts lose passages of over 50 words that repeat, in the same document or another; a character that is cut in two goes.
+
+    A passage is found by strings of 200 bytes. Null, empty and short texts stay; texts that repeat as a whole become empty.
+    """
+    found = remove_repeats(docs.select(*COLUMNS), span=PASSAGE_BYTES, words=PASSAGE_WORDS, as_text=True)
+    return _as_documents(found.withColumnRenamed("kept", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
