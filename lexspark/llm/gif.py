@@ -292,8 +292,12 @@ def frames_table(df: DataFrame, media_col: str = "media", id_col: str = "id") ->
 
 
 def media_columns(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds (payload, n_frames, duration_ms, colours) to rows with a GIF: samples of all frames, and their summed histogram."""
-    schema = df.select("*").schema
+    """Adds (payload, n_frames, duration_ms, colours) to rows with a GIF: samples of all frames, and their summed histogram.
+
+    Columns of these names are replaced. A null media value has no frames and an empty payload; one that is no GIF is an error.
+    """
+    df = df.drop(*({"payload", "n_frames", "duration_ms", "colours"} - {media_col}))
+    schema = df.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,24 +1,31 @@
 """WARC archives: writing, reading back, and revisit resolution.
 
-Archives are written by Spark's own text sink (one record per row, records end in two line breaks),
-so they land on any file system Spark can reach and commit atomically per task. Reading splits on the
-record boundary inside the JVM; no file has to fit in memory.
+Archives are written by Spark's own text sink, so they land on any file system Spark can reach and commit
+atomically per task. Each record of a ``.warc.gz`` file is a gzip member of its own, so that readers can seek to it;
+``.warc`` files are plain. Reading splits on the record boundary inside the JVM, as a stream; payloads that would
+read as a boundary are chunked. Compressed files are read by a task each, so ``max_records_per_file`` bounds a task.
 """
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from datetime import datetime, timezone
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
-from lexspark.llm.common import fresh_path
+from lexspark.llm.common import fresh_path, written
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 END = CRLF + CRLF
 #: What stands between two records of a file.
 BOUNDARY = END + VERSION + CRLF
+#: The sink puts a mark behind each row; behind a gzip member it is a member without content.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
@@ -70,15 +77,43 @@ def _fixed(name: str, value: str) -> Column:
 
 def _chunked(payload: Column) -> Column:
     """The payload in HTTP chunks, cut inside each text that would read as a record boundary."""
-    parts = F.split(payload, r"(?<=WARC)(?=/1\.1\r\n)")
+    parts = F.split(payload, r"(?<=WARC)(?=/1\.1(?:\r\n|\z))")
     chunk = F.transform(parts, lambda p: F.concat(F.lower(F.hex(F.octet_length(p))), F.lit(CRLF), p, F.lit(CRLF)))
     return F.concat(F.array_join(chunk, ""), F.lit("0" + END))
 
 
-def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", max_records_per_file: int = 1_000_000) -> str:
-    """Writes records with fresh headers: full responses, and body-less revisits where ``refers_to`` is set."""
+@F.pandas_udf(BinaryType())
+def _member(records: pd.Series) -> pd.Series:
+    """Each record as a gzip member."""
+    return records.map(lambda text: gzip.compress(text.encode(), 6, mtime=0))
+
+
+def _warcinfo(date: str) -> str:
+    body = f"software: lexspark{CRLF}format: WARC File Format 1.1{CRLF}"
+    head = f"{VERSION}{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <urn:uuid:{zlib.crc32(date.encode()):08x}-0000-4000-8000-000000000000>{CRLF}WARC-Date: {date}{CRLF}"
+    return f"{head}Content-Type: application/warc-fields{CRLF}Content-Length: {len(body)}{END}{body}"
+
+
+def _named(spark: SparkSession, path: str, ending: str) -> None:
+    """Gives the part files below ``path`` the ending of archives."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name[:-4]}{ending}"))
+
+
+def write_warc(records: DataFrame, path: str, date: str | None = None, compression: str = "gzip", max_records_per_file: int = 20_000) -> str:
+    """Writes records with fresh headers: full responses, and body-less revisits where ``refers_to`` is set.
+
+    ``compression`` is gzip (a member per record, ``.warc.gz``) or none (``.warc``). Each task's first file begins with a
+    warcinfo record. ``date`` is that of writing unless given. A table without rows makes a folder without records.
+    """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    plain = compression == "none"
     revisit = F.col("refers_to").isNotNull()
-    hides = F.contains(F.concat(F.lit(END), "payload"), F.lit(BOUNDARY))
+    hides = F.contains(F.concat(F.lit(END), "payload", F.lit(END)), F.lit(BOUNDARY))  # END goes before and after the payload
     body = F.when(hides, _chunked(F.col("payload"))).otherwise(F.col("payload"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"),
@@ -98,8 +133,14 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
         _header("X-Page-ID", F.col("id").cast("string")), _fixed("Content-Type", "application/http;msgtype=response"),
         _header("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF),
     )
-    (records.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("compression", compression)
-     .option("maxRecordsPerFile", max_records_per_file).text(path))
+    rows = records.select(F.concat(head, block).alias("value"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0).alias("opens"))
+    rows = rows.select(F.explode(F.when(F.col("opens"), F.array(F.lit(_warcinfo(date)), "value")).otherwise(F.array("value"))).alias("value"))
+    if plain:
+        out = rows.write.option("lineSep", END)
+    else:
+        out = rows.select(_member(F.concat("value", F.lit(END))).cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
+    out.option("maxRecordsPerFile", max_records_per_file).text(path)
+    _named(records.sparkSession, path, ".warc" if plain else ".warc.gz")
     return path
 
 
@@ -128,10 +169,11 @@ def _field(head: Column, name: str) -> Column:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below ``path``: (record_id, type, id, uri, digest, refers_id, payload)."""
+    """Records of the archives below ``path``, without warcinfo: (record_id, type, id, uri, digest, refers_id, payload)."""
     lines = spark.read.option("lineSep", BOUNDARY).text(path)
     part = F.split(F.col("value"), END, 3)
-    raw = lines.select(part[0].alias("head"), part[1].alias("http"), F.coalesce(part[2], F.lit("")).alias("rest"))
+    raw = lines.select(F.get(part, F.lit(0)).alias("head"), F.coalesce(F.get(part, F.lit(1)), F.lit("")).alias("http"), F.coalesce(F.get(part, F.lit(2)), F.lit("")).alias("rest"))
+    raw = raw.where(_field(F.col("head"), "WARC-Type").isin("response", "revisit"))
     # Content-Length, not the separator, says where the last record of a file ends
     size = _field(F.col("head"), "Content-Length").cast("long") - F.octet_length("http") - len(END)
     body = F.substr(F.col("rest").cast("binary"), F.lit(1), F.greatest(size, F.lit(0)).cast("int")).cast("string")
@@ -147,16 +189,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def resolved(records: DataFrame) -> DataFrame:
     """Records read back, with the payload length and id of the response that each revisit refers to.
 
-    Digests of responses are taken anew from the payload that was read.
+    Digests of responses are taken anew from the payload that was read. Archives are parsed once; only headers are joined,
+    and only those of revisits, with both sides written first, so that Spark can split a payload that many revisit.
     """
     full = records.select(
         "record_id", "type", "id", "refers_id", F.when(F.col("type") == "revisit", F.col("digest")).otherwise(F.sha1(F.col("payload").cast("binary"))).alias("digest"),
         F.octet_length("payload").cast("long").alias("n_bytes"),
     )
+    full = written(full, "headers")
     whole = full.where("type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.max("id").alias("refers_to"), F.max("n_bytes").alias("whole_bytes"))
-    return full.join(whole, "refers_id", "left").select(
-        "id", F.when(F.col("type") == "revisit", F.col("whole_bytes")).otherwise(F.col("n_bytes")).alias("n_bytes"), "digest", "type", "refers_to"
-    )
+    again = full.where("type = 'revisit'").join(written(whole, "responses"), "refers_id", "left").select("id", F.col("whole_bytes").alias("n_bytes"), "digest", "type", "refers_to")
+    return full.where("type = 'response'").select("id", "n_bytes", "digest", "type", F.lit(None).cast("long").alias("refers_to")).union(again)
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,5 +264,25 @@ def test_rotation_balances_bits():
     share = np.where((x - mean) @ projection >= 0, 1, 0).mean(0)
     assert (abs(share - 0.5) < 0.15).all()
     assert np.allclose(projection.T @ projection, np.eye(16), atol=1e-8)
-    masks = vectors.table_masks(10_000, 64, 0.98)
-    assert len(masks) >= 5 and all(m.bit_count() == math.ceil(math.log2(10_000 / 16)) for m in masks)
+
+
+@pytest.mark.parametrize("n", [500, 20_000, 2_000_000])
+def test_tables_reach_their_recall_at_each_size(n):
+    """On vectors that the fit has not seen, each with a partner at just the threshold."""
+    rng = np.random.default_rng(2)
+    x = vectors._unit(rng.normal(size=(9000, 48)) * np.linspace(2, 0.5, 48))
+    fitted = vectors.fit_tables(48, x[:4000], n, 0.98)
+    width = math.ceil(math.log2(n / vectors.PER_BUCKET))
+    for code in range(len(fitted.projections)):
+        masks = [m for c, m in fitted.tables if c == code]
+        assert sum(masks) == (1 << 64) - 1 and all(m.bit_count() >= min(width, 6) for m in masks)  # disjoint segments
+    a = x[4000:]
+    u = rng.normal(size=a.shape)
+    u -= (u * a).sum(1, keepdims=True) * a
+    b = 0.98 * a + math.sqrt(1 - 0.98**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    left, right = fitted.codes(a), fitted.codes(b)
+    times = np.zeros(len(a), int)
+    for t in range(len(fitted.tables)):
+        for low in range(0, len(a), 500):
+            times[low : low + 500] += fitted.first_found(left[low : low + 500], right[low : low + 500], t).diagonal()
+    assert times.max() == 1 and times.mean() >= 0.99  # found, and by one table only

@@ -194,7 +194,7 @@ def test_op9_digests(spark, sf_dir):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:]) and r.payload_bytes == len(payload)
 
 
-HARD = ["WARC/1.1\r\nrest", "a\r\n\r\nWARC/1.1\r\nb\r\n\r\nWARC/1.1\r\n", "ends\r\n", "ends\r\n\r\n", "ends\r", "\r\n\r\n", "WARC", ""]
+HARD = ["WARC/1.1\r\nrest", "a\r\n\r\nWARC/1.1\r\nb\r\n\r\nWARC/1.1\r\n", "ends\r\n", "ends\r\n\r\n", "ends\r", "\r\n\r\n", "WARC", "", "WARC/1.1", "x\r\n\r\nWARC/1.1", "x\r\n\r\nWARC/1.1\r", "WARC/1.1WARC/1.1"]
 
 
 @pytest.mark.parametrize("compression", ["gzip", "none"])
@@ -216,3 +216,51 @@ def test_warc_revisits(spark, tmp_path):
     assert len(got) == 8
     assert {(r[0], r[3], r[4]) for r in got} == {(1, "revisit", 5), (3, "revisit", 5), (5, "response", None), (7, "response", None), (8, "response", None), (9, "response", None), (0, "revisit", 9)}
     assert all(r[2] in {sha(big), sha("small"), sha(other)} for r in got) and {r[1] for r in got if r[0] in (1, 3, 5)} == {1200}
+
+
+def test_warc_records_are_gzip_members(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(warc.resolve_revisits(warc.to_records(pages)).coalesce(1), f"file://{tmp_path}/w")
+    (file,) = tmp_path.glob("w/*.warc.gz")
+    raw, records = file.read_bytes(), []
+    while raw:
+        member = zlib.decompressobj(31)
+        records.append(member.decompress(raw))
+        raw = member.unused_data
+    records = [r for r in records if r]
+    assert len(records) == 6 and records[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and all(r.endswith(b"\r\n\r\n") for r in records)
+    for r in records:
+        head, _, block = r.partition(b"\r\n\r\n")
+        size = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
+        assert block[size:] == b"\r\n\r\n"
+
+
+def test_warc_of_an_empty_table_and_clashing_columns(spark, tmp_path):
+    schema = "page_id long, url string, html string, id int, payload string, digest string, refers_to string, type int"
+    for rows in ([], [(1, "u", "x" * 2000, 7, "p", "d", "r", 8), (2, "u", "x" * 2000, 7, "p", "d", "r", 8)]):
+        pages = spark.createDataFrame(rows, schema)
+        path = warc.write_warc(warc.resolve_revisits(warc.to_records(pages)), f"file://{tmp_path}/{len(rows)}")
+        got = sorted((r.id, r.n_bytes, r.type, r.refers_to) for r in warc.resolved(warc.read_warc(spark, path)).collect())
+        assert got == ([(1, 2000, "revisit", 2), (2, 2000, "response", None)] if rows else [])
+
+
+def test_media_columns_replace_their_namesakes(spark):
+    df = gif.store_texts(spark.createDataFrame([(1, "ab")], "doc_id long, text string")).withColumn("payload", F.lit("x")).withColumn("n_frames", F.lit(9)).withColumn("other", F.lit(3))
+    out = gif.media_columns(df)
+    assert out.columns == ["id", "n_bytes", "media", "other", "payload", "n_frames", "duration_ms", "colours"]
+    (row,) = out.collect()
+    assert row.payload == b"ab" + bytes(62) and row.n_frames == 1 and row.other == 3
+
+
+def test_op9_feature(spark, sf_dir):
+    """Frames, time and colour counts, from the texts alone."""
+    palette = gif.byte_palette().astype(int)
+    cell = [(r // 32 * 8 + g // 32) * 8 + b // 32 for r, g, b in palette.tolist()]
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in gif.op9_gif_media(spark, sf_dir).collect():
+        payload = gif.payload_of(texts[r.doc_id])
+        frames = -(-len(payload) // 64 // gif.MAX_ROWS)
+        counts = {}
+        for byte in payload:
+            counts[cell[byte]] = counts.get(cell[byte], 0) + 1
+        assert r.feature == f"{frames} frames;{frames * gif.DELAY_CS * 10} ms;" + ",".join(f"{c}:{n}" for c, n in sorted(counts.items()))
