@@ -154,7 +154,7 @@ class Ranker:
             first, last = part[0].pos, part[-1].pos
             noise = (last - first) - (len(part) - 1)
             if noise < 0:
-                noise = (len(part) - 1) / 2
+                noise = (len(part) - 1) // 2  # whole places only
             key = tuple(e.lexeme for e in part)
             seen_keys[key] = k = seen_keys.get(key, 0) + 1
             total += weight / (1 + noise) / k**2 / DAMPING
@@ -204,7 +204,7 @@ def _two_words(vector: Column, one: Term, two: Term) -> Column:
         k01, k10 = acc["k01"] + F.when(new & (acc["who"] == 0), 1).otherwise(0), acc["k10"] + F.when(new & (acc["who"] == 1), 1).otherwise(0)
         k = F.when(acc["who"] == 0, k01).otherwise(k10).cast("double")
         gap = (x["at"] - acc["at"]).cast("double")
-        noise = F.when(gap - 1 < 0, F.lit(0.5)).otherwise(gap - 1)
+        noise = F.greatest(gap - 1, F.lit(0.0))  # both at one place: half of one, in whole places
         gain = F.lit(4.0) / (acc["r"] + x["r"]) / (1 + noise) / F.when(new, k * k).otherwise(1.0) / DAMPING
         return F.struct((acc["sum"] + F.when(new, gain).otherwise(0.0)).alias("sum"), k01.alias("k01"), k10.alias("k10"), x["at"].alias("at"), x["who"].alias("who"), x["r"].alias("r"))
 

@@ -1,12 +1,15 @@
-"""Posting tables: an inverted index as Parquet, with appends, deletes, compaction and inspection.
+"""Posting tables: an inverted index as Parquet, with appends, deletes, updates, compaction and inspection.
 
-An index is a folder of generations; ``current`` is the newest one whose ``meta`` is complete. A generation has
+An index is a folder of generations; the newest numbered description ``meta-<n>.json`` names the current one. A
+generation has numbered batches, one per build or append, of
 
-* ``docs``: each row's key, its category, its indexed columns and attached columns (negative queries, empty and null
-  values, and exact checks need it),
+* ``docs``: each row's key, its indexed columns and attached columns (negative queries, empty and null values, and
+  exact checks need it),
 * ``postings``: (col, bucket, term, key, category, pos | n, attached value), one row per distinct term of a row, in
   ``bucket`` folders by the hash of the term, sorted by term (or by attached value first) within files,
-* ``deleted``: keys of deleted rows, added by ``delete`` and applied by every read until ``compact``.
+
+and ``deleted``: (key, until), the last batch in which a row of that key is gone. A key that is appended again later
+is in a later batch, so an update is a delete and an append. ``compact`` starts a new generation; ``clean`` removes old ones.
 
 A search reads the buckets and terms it names (partition pruning and pushed-down predicates), gathers the
 terms of each row into a small vector, and evaluates the query on that: the same compiled column as
@@ -20,6 +23,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,59 +76,81 @@ def hash_term(term: Column) -> Column:
 
 
 def _posting_rows(df: DataFrame, o: Options) -> DataFrame:
-    """One row per distinct term of each indexed column, and a placeholder row for each empty or null value."""
+    """One row per distinct term of each indexed column, and a placeholder row for each empty or null value.
+
+    ``df`` is a stored table: each value is read once, and exploded once.
+    """
     parts = []
     attached = F.col(f"`{o.attach}`") if o.attach else F.lit(None).cast("string")
+    nothing = lambda kind: F.lit(None).cast(kind)
     for column, name in o.columns.items():
         c, value = CLASSES[name], F.col(f"`{column}`")
-        if c.family == "vector":
-            items = F.transform(value, lambda x: F.struct(x["lexeme"].alias("term"), x["pos"].alias("pos"), F.lit(None).cast("int").alias("n")))
-        elif c.family == "array":
-            count = F.size(F.array_distinct(value))
-            items = F.transform(F.array_distinct(value), lambda x: F.struct(x.cast("string").alias("term"), F.lit(None).cast("array<int>").alias("pos"), count.alias("n")))
-        elif c.family == "scalar":
-            items = F.when(value.isNotNull(), F.array(F.struct(value.cast("string").alias("term"), F.lit(None).cast("array<int>").alias("pos"), F.lit(None).cast("int").alias("n"))))
+        here = attached if o.to == column else F.lit(None)
+        if c.family == "scalar":
+            rows = df.select(F.col(f"`{o.key}`").alias("key"), F.when(value.isNull(), NULL_ITEM).otherwise(NORM_KEY).cast("tinyint").alias("category"), here.alias("attached"), value.cast("string").alias("term"))
+            rows = rows.withColumn("pos", nothing("array<int>")).withColumn("n", nothing("int"))
+        elif c.family in ("vector", "array"):
+            items = value if c.family == "vector" else F.array_distinct(value)
+            rows = df.select(F.col(f"`{o.key}`").alias("key"), here.alias("attached"), items.alias("items"))
+            category = F.when(F.col("items").isNull(), NULL_ITEM).when(F.size("items") == 0, EMPTY_ITEM).otherwise(NORM_KEY).cast("tinyint")
+            rows = rows.select("key", category.alias("category"), "attached", F.size("items").alias("n"), F.explode_outer("items").alias("x"))
+            if c.family == "vector":
+                rows = rows.withColumn("term", F.col("x.lexeme")).withColumn("pos", F.col("x.pos")).withColumn("n", nothing("int"))
+            else:
+                rows = rows.withColumn("term", F.col("x").cast("string")).withColumn("pos", nothing("array<int>")).withColumn("n", F.when(F.col("category") == NORM_KEY, F.col("n")))
         else:
             raise ValueError(f"class {name} is stored by the inverse operator")
-        category = F.when(items.isNull(), NULL_ITEM).when(F.size(items) == 0, EMPTY_ITEM).otherwise(NORM_KEY).cast("tinyint")
-        here = attached if o.to == column else F.lit(None)
-        rows = df.select(F.col(f"`{o.key}`").alias("key"), category.alias("category"), here.alias("attached"), F.explode_outer(items).alias("x"))
-        term = F.col("x.term")
-        if c.hashed:
-            term = hash_term(term).cast("string")
-        parts.append(rows.select(F.lit(column).alias("col"), F.when(F.col("category") == NORM_KEY, term).alias("term"), "key", "category", F.col("x.pos").alias("pos"), F.col("x.n").alias("n"), "attached"))
+        term = hash_term(F.col("term")).cast("string") if c.hashed else F.col("term")
+        parts.append(rows.select(F.lit(column).alias("col"), F.when(F.col("category") == NORM_KEY, term).alias("term"), "key", "category", "pos", "n", "attached"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(o.buckets)).cast("int"))
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    jvm, fs = _files(spark, path)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def _batch(spark: SparkSession, path: str, o: Options) -> int:
+    """The number of the next batch."""
+    return 1 + max((int(n[6:]) for n in _names(spark, f"{path}/{o.generation}/docs") if n.startswith("batch=")), default=-1)
+
+
 def _write(df: DataFrame, path: str, o: Options) -> None:
+    """Writes the rows first, so that what their columns cost is paid once, and posting rows from what was written."""
+    spark, number = df.sparkSession, _batch(df.sparkSession, path, o)
+    keep = dict.fromkeys([o.key, *o.columns, *([o.attach] if o.attach else [])])
+    rows = df.select(*[F.col(f"`{c}`") for c in keep])
+    stored = f"{path}/{o.generation}/docs/batch={number}"
+    rows.write.parquet(stored)
     sort = ["term", "attached", "key"] if o.order_by_attach else ["term", "key"]
-    rows = _posting_rows(df, o)
     # few files per bucket, and a hot term is still split: salted by a hash of the row key
-    salted = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(4)))
-    salted.sortWithinPartitions("bucket", "col", *sort).write.mode("append").partitionBy("bucket").parquet(f"{path}/{o.generation}/postings")
-    keep = dict.fromkeys([o.key, *o.columns, *([o.attach] if o.attach else [])])
-    df.select(*[F.col(f"`{c}`") for c in keep]).write.mode("append").parquet(f"{path}/{o.generation}/docs")
+    salted = _posting_rows(spark.read.schema(rows.schema).parquet(stored), o).repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(4)))
+    salted.sortWithinPartitions("bucket", "col", *sort).write.partitionBy("bucket").parquet(f"{path}/{o.generation}/postings/batch={number}")
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _newest(spark: SparkSession, path: str) -> int:
+    return max((int(n[5:-5]) for n in _names(spark, path) if n.startswith("meta-") and n.endswith(".json")), default=0)
 
 
 def _point(spark: SparkSession, path: str, o: Options) -> None:
-    """Makes a generation current: its description is written next to the old one, then renamed over it."""
+    """Makes a generation current by one more description. It appears whole, by a rename, and none is taken away."""
     jvm, fs = _files(spark, path)
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}/meta-{o.generation}.tmp"), jvm.org.apache.hadoop.fs.Path(f"{path}/meta.json")
+    new, last = jvm.org.apache.hadoop.fs.Path(f"{path}/meta-{o.generation}.tmp"), jvm.org.apache.hadoop.fs.Path(f"{path}/meta-{_newest(spark, path) + 1}.json")
     out = fs.create(new, True)
     out.write(json.dumps(o.__dict__).encode())
     out.close()
-    if fs.exists(old):
-        fs.delete(old, False)
-    fs.rename(new, old)
+    if not fs.rename(new, last):
+        raise RuntimeError("another writer changed the index")
 
 
 def build_index(
@@ -144,7 +170,7 @@ class PostingIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         jvm, fs = _files(spark, path)
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{path}/meta.json"))
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{path}/meta-{_newest(spark, path)}.json"))
         text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
         self.options = Options(**json.loads(text))
@@ -157,21 +183,34 @@ class PostingIndex:
         return f"{self.path}/{self.options.generation}/{name}"
 
     def _deleted(self) -> DataFrame | None:
-        jvm, fs = _files(self.spark, self.path)
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(self._folder("deleted"))):
+        """(key, until) of deleted rows."""
+        if "deleted" not in _names(self.spark, f"{self.path}/{self.options.generation}"):
             return None
-        return self.spark.read.parquet(self._folder("deleted")).distinct()
+        return self.spark.read.parquet(self._folder("deleted")).groupBy("key").agg(F.max("until").alias("until"))
 
     def _live(self, df: DataFrame, key: str) -> DataFrame:
         gone = self._deleted()
-        return df if gone is None else df.join(gone.select(F.col("key").alias(key)), key, "left_anti")
+        if gone is not None:
+            gone = gone.select(F.col("key").alias("__key"), "until")
+            df = df.join(gone, (F.col(f"`{key}`") == F.col("__key")) & (F.col("batch") <= F.col("until")), "left_anti")
+        return df.drop("batch")
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self._folder("docs"))
 
     def docs(self) -> DataFrame:
-        return self._live(self.spark.read.parquet(self._folder("docs")), self.options.key)
+        return self._live(self._stored(), self.options.key)
+
+    def _rows(self) -> DataFrame:
+        """All posting rows. The schema is given: an index of no rows has no files to tell it."""
+        kinds, o = dict(self._stored().dtypes), self.options
+        kind = kinds[o.attach] if o.attach else "string"
+        schema = f"col string, term string, key {kinds[o.key]}, category tinyint, pos array<int>, n int, attached {kind}, batch int, bucket int"
+        return self.spark.read.schema(schema).parquet(self._folder("postings"))
 
     def postings(self, column: str | None = None, term: str | None = None) -> DataFrame:
         """Posting rows, of one column or one term."""
-        rows = self.spark.read.parquet(self._folder("postings"))
+        rows = self._rows()
         if column is not None:
             rows = rows.where(F.col("col") == column)
         if term is not None:
@@ -184,7 +223,7 @@ class PostingIndex:
     def _hits(self, column: str, operands: Sequence[Term]) -> DataFrame:
         """Posting rows of the operands' terms, named by the lexeme asked for in hashed classes."""
         c, o = CLASSES[self.options.columns[column]], self.options
-        rows = self.spark.read.parquet(self._folder("postings")).where((F.col("col") == column) & (F.col("category") == NORM_KEY))
+        rows = self._rows().where((F.col("col") == column) & (F.col("category") == NORM_KEY))
         exact, prefixes = sorted({t.lexeme for t in operands if not t.prefix}), sorted({t.lexeme for t in operands if t.prefix})
         if c.hashed and prefixes:
             raise ValueError("compare with prefix expressions isn't supported")
@@ -234,33 +273,50 @@ class PostingIndex:
         far. Equal distances are ordered by key.
         """
         o = self.options
-        found = None
+        found, known = None, False  # known: ``found`` has the attached value
         for column, query in (where or {}).items():
             family = CLASSES[o.columns[column]].family
-            keys = (self.match(column, query) if family == "vector" else self.match_array(column, *query)).select(F.col("key").alias(o.key))
-            found = keys if found is None else found.join(keys, o.key, "left_semi")
+            hits = self.match(column, query) if family == "vector" else self.match_array(column, *query)
+            own = family == "vector" and column == o.to and not known
+            hits = hits.select(F.col("key").alias(o.key), *([F.col("attached").alias(o.attach)] if own else []))
+            if found is None:
+                found = hits
+            else:
+                found = hits.join(found, o.key, "left_semi") if own else found.join(hits, o.key, "left_semi")
+            known = known or own
+        if known and filters is not None:
+            try:  # a predicate over the attached column alone holds for posting rows
+                found, filters = found.where(filters), None
+            except AnalysisException:
+                pass
+        names = ["distance", *[f"distance{i}" for i in range(2, len(order_by) + 1)]]
+        if known and filters is None and limit is not None and order_by and all(column == o.attach for _, column, _ in order_by):
+            # the nearest rows are known from postings; only these are fetched
+            near = ordered(found, [self._distance(*x) for x in order_by], o.key, limit, names).select(F.col(f"`{o.key}`").alias("__key"), *names)
+            rows = self.docs().join(near, F.col(f"`{o.key}`") == F.col("__key")).drop("__key")
+            return rows.orderBy(*[F.col(n).asc_nulls_last() for n in names], F.col(f"`{o.key}`").asc_nulls_last()).limit(limit)
+        if known:
+            found = found.select(o.key)
         rows = self.docs() if found is None else self.docs().join(found, o.key, "left_semi")
         if filters is not None:
             rows = rows.where(filters)
-        distances = []
-        for op, column, value in order_by:
-            name = o.columns.get(column)
-            family = CLASSES[name].family if name else "scalar"
-            if family == "vector":
-                d = rank.ts_distance(F.col(f"`{column}`"), value)
-            elif family == "array":
-                d = arrays.array_distance(F.col(f"`{column}`"), value)
-            elif column == o.attach:
-                d = distance.attached_distance(F.col(f"`{column}`"), value, o.attached_kind, op)
-            else:
-                if name and not CLASSES[name].order:
-                    raise ValueError(f"class {name} doesn't support ordering")
-                d = distance.DISTANCES[op](F.col(f"`{column}`"), value, name or "float8")
-            distances.append(d)
-        if not distances:
+        if not order_by:
             return rows.limit(limit) if limit is not None else rows
-        names = ["distance", *[f"distance{i}" for i in range(2, len(distances) + 1)]]
-        return ordered(rows, distances, o.key, limit, names)
+        return ordered(rows, [self._distance(*x) for x in order_by], o.key, limit, names)
+
+    def _distance(self, op: str, column: str, value) -> Column:
+        o = self.options
+        name = o.columns.get(column)
+        family = CLASSES[name].family if name else "scalar"
+        if family == "vector":
+            return rank.ts_distance(F.col(f"`{column}`"), value)
+        if family == "array":
+            return arrays.array_distance(F.col(f"`{column}`"), value)
+        if column == o.attach:
+            return distance.attached_distance(F.col(f"`{column}`"), value, o.attached_kind, op)
+        if name and not CLASSES[name].order:
+            raise ValueError(f"class {name} doesn't support ordering")
+        return distance.DISTANCES[op](F.col(f"`{column}`"), value, name or "float8")
 
     def match_array(self, column: str, op: str, values: Sequence, threshold: float = 0.5, function: str = "cosine") -> DataFrame:
         """(key) of rows whose array relates to ``values``: && @> <@ = %. Counts of shared elements decide; = is checked on the row."""
@@ -294,16 +350,22 @@ class PostingIndex:
     # -- changing
 
     def append(self, df: DataFrame) -> PostingIndex:
-        """Adds rows as further files; keys must be new."""
+        """Adds rows as a further batch; keys must be new, or deleted before."""
         self.options.check(df)
         _write(df, self.path, self.options)
         return self
 
     def delete(self, keys: DataFrame) -> PostingIndex:
-        """Marks rows (first column of ``keys``) as deleted."""
-        keys.select(F.col(keys.columns[0]).alias("key")).write.mode("append").parquet(self._folder("deleted"))
+        """Marks the rows of ``keys`` (its first column) that the index has now as deleted."""
+        until = _batch(self.spark, self.path, self.options) - 1
+        keys.select(F.col(keys.columns[0]).alias("key"), F.lit(until).alias("until")).write.mode("append").parquet(self._folder("deleted"))
         return self
 
+    def update(self, df: DataFrame) -> PostingIndex:
+        """Puts the rows of ``df`` in place of those with the same keys."""
+        self.options.check(df)
+        return self.delete(df.select(F.col(f"`{self.options.key}`"))).append(df)
+
     def compact(self) -> PostingIndex:
         """Writes a new generation from the live rows and makes it current; readers of the old one are not disturbed."""
         new = Options(**{**self.options.__dict__, "generation": uuid.uuid4().hex})
@@ -311,6 +373,16 @@ class PostingIndex:
         _point(self.spark, self.path, new)
         return PostingIndex(self.spark, self.path)
 
+    def clean(self) -> int:
+        """Removes all generations but the current one, and their descriptions. No reader may use them any more."""
+        jvm, fs = _files(self.spark, self.path)
+        newest = PostingIndex(self.spark, self.path).options.generation
+        keep = {newest, f"meta-{_newest(self.spark, self.path)}.json"}
+        gone = [n for n in _names(self.spark, self.path) if n not in keep]
+        for n in gone:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}"), True)
+        return sum(not n.startswith("meta-") for n in gone)
+
     # -- inspecting
 
     def stats(self) -> DataFrame:
@@ -318,7 +390,7 @@ class PostingIndex:
         p = self.postings()
         terms_ = F.countDistinct(F.when(F.col("category") == NORM_KEY, F.struct("col", "term")))
         gone = self._deleted()
-        files = len(self.spark.read.parquet(self._folder("postings")).inputFiles())
+        files = len(self._rows().inputFiles())
         return p.agg(
             F.lit(self.options.version).alias("version"), F.countDistinct("key").alias("n_rows"), F.sum((F.col("category") == NORM_KEY).cast("long")).alias("n_postings"), terms_.alias("n_terms"),
             F.sum((F.col("category") != NORM_KEY).cast("long")).alias("n_placeholders"), F.lit(gone.count() if gone is not None else 0).cast("long").alias("n_deleted"), F.lit(files).cast("long").alias("n_files"),

@@ -69,7 +69,7 @@ def _rank(query: str, lexemes: list[str], method: int = 0):
 
 
 ONE_SQL = "SELECT doc_id, sum(0.1 / (k * k) / 1.64493406685) AS s FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id, w ORDER BY p) AS k FROM places WHERE w IN ({words})) GROUP BY doc_id"
-AND_SQL = """SELECT doc_id, sum(0.2 / (1 + CASE WHEN gap - 1 < 0 THEN 0.5 ELSE gap - 1 END) / (k * k) / 1.64493406685) AS s FROM (
+AND_SQL = """SELECT doc_id, sum(0.2 / (1 + CASE WHEN gap - 1 < 0 THEN 0 ELSE gap - 1 END) / (k * k) / 1.64493406685) AS s FROM (
   SELECT doc_id, gap, row_number() OVER (PARTITION BY doc_id, before, w ORDER BY p) AS k FROM (
     SELECT doc_id, w, p, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS before, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM places WHERE w IN ('of', 'the'))
   WHERE before <> w) GROUP BY doc_id"""
@@ -101,6 +101,14 @@ def _rank_forms_agree(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", _rounded(rank.ts_score("v", "of & the", general=True)).alias("score"))
 
 
+def _rank_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Two lexemes that share all their places, by the closed form and by the general search."""
+    d = documents(spark, sf).where(match.token_matches("t", "the")).select("doc_id", match.TokenSource(F.col("t")).positions(match.Term("the")).alias("p"))
+    v = F.array(*[F.struct(F.lit(x).alias("lexeme"), F.col("p").alias("pos")) for x in ("left", "right")])
+    d = d.select("doc_id", v.alias("v"))
+    return d.select("doc_id", _rounded(rank.ts_score("v", "left & right")).alias("score"), _rounded(rank.ts_score("v", "left & right", general=True)).alias("searched"))
+
+
 def _rank_distance(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).select("doc_id", mini_vector(F.col("t"), ["der"]).alias("v"))
     far = rank.ts_distance("v", rank.DistanceQuery("der", None)).cast("double")
@@ -120,14 +128,39 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(F.col("x.lexeme").alias("lexeme")).agg(F.count("*").alias("n_docs"), F.sum(F.size("x.pos")).alias("n_positions"))
 
 
-def _index(spark: SparkSession, sf: str, name: str = "tsvector", rows=None, words: str = "en", **options) -> postings.PostingIndex:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", analyze.to_tsvector("text").alias("v"))
+def _documents_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", analyze.to_tsvector("text").alias("v"))
+
+
+def _own_index(spark: SparkSession, sf: str, name: str = "tsvector", rows=None, **options) -> postings.PostingIndex:
+    """A fresh index, for queries that change it."""
+    docs = _documents_with_vectors(spark, sf)
     docs = docs if rows is None else docs.where(rows)
     return postings.build_index(docs, new_folder(spark, "index"), {"v": name}, buckets=8, **options)
 
 
+#: Paths of indexes by (session, data folder, layout).
+_INDEXES: dict[tuple, str] = {}
+
+
+def _index(spark: SparkSession, sf: str, name: str = "tsvector", **options) -> postings.PostingIndex:
+    """The session's index of a folder, built by the first query that needs it; queries leave it as it is."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf, name, tuple(sorted(options.items())))
+    if key not in _INDEXES:
+        _INDEXES[key] = _own_index(spark, sf, name, **options).path
+    return postings.PostingIndex(spark, _INDEXES[key])
+
+
 def _build(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf).entries().where("category = 'NORM_KEY'").select("term", "n_rows", "first_key")
+    return _terms_of(_own_index(spark, sf))
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    return _terms_of(_index(spark, sf))
+
+
+def _terms_of(index: postings.PostingIndex) -> DataFrame:
+    return index.entries().where("category = 'NORM_KEY'").select("term", "n_rows", "first_key")
 
 
 def _search_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,19 +185,29 @@ def _search_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def _append(spark: SparkSession, sf: str) -> DataFrame:
     """An index of the first half, with the rest appended."""
-    half = _index(spark, sf, rows=F.col("doc_id") % 2 == 0)
-    rest = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 1").select("doc_id", "n_chars", analyze.to_tsvector("text").alias("v"))
+    half = _own_index(spark, sf, rows=F.col("doc_id") % 2 == 0)
+    rest = _documents_with_vectors(spark, sf).where("doc_id % 2 = 1")
     return half.append(rest).search({"v": "the & of"}).select("doc_id")
 
 
 def _delete(spark: SparkSession, sf: str) -> DataFrame:
     gone = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 = 0").select("doc_id")
-    return _index(spark, sf).delete(gone).search({"v": "the & of"}).select("doc_id")
+    return _own_index(spark, sf).delete(gone).search({"v": "the & of"}).select("doc_id")
+
+
+def _update(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows take the text of the row before them in threes: updated twice, then deleted and appended."""
+    docs = _documents_with_vectors(spark, sf)
+    index = _own_index(spark, sf, "tsvector_addon", attach="n_chars", to="v", attached_kind="int8")
+    moved = docs.where("doc_id % 3 = 1").select((F.col("doc_id") - 1).alias("doc_id"), "n_chars", "v")
+    index.update(docs.where("doc_id % 3 = 0").select("doc_id", "n_chars", analyze.strip(F.col("v")).alias("v"))).update(moved)
+    gone = docs.where("doc_id % 3 = 2").select("doc_id")
+    return index.delete(gone).append(docs.where("doc_id % 3 = 2")).delete(docs.where("doc_id % 3 = 1").select("doc_id")).search({"v": "the & of"}).select("doc_id", "n_chars")
 
 
 def _compact(spark: SparkSession, sf: str) -> DataFrame:
     gone = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 = 0").select("doc_id")
-    return _index(spark, sf).delete(gone).compact().stats().select("n_rows", "n_postings", "n_terms", "n_placeholders", "n_deleted")
+    return _own_index(spark, sf).delete(gone).compact().stats().select("n_rows", "n_postings", "n_terms", "n_placeholders", "n_deleted")
 
 
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +239,9 @@ PERCOLATE_SQL = " UNION ALL ".join(f"SELECT doc_id, CAST({i} AS BIGINT) AS query
 
 
 def _percolate(spark: SparkSession, sf: str) -> DataFrame:
-    return inverse.percolate(documents(spark, sf), inverse.store_queries(spark, STORED), F.col("t"))
+    path = new_folder(spark, "queries")
+    inverse.stored_table(spark.createDataFrame(STORED, "query_id long, query string")).write.parquet(path)
+    return inverse.percolate(documents(spark, sf), spark.read.parquet(path), F.col("t"))
 
 
 def _percolate_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,10 +319,10 @@ def queries() -> dict:
     out |= {"fts_weighted": _weighted, "fts_vectors": _vectors, "flagship": _flagship_rows}
     out |= {"rank_single": _rank("der", ["der"]), "rank_or": _rank("the | der | que", ["the", "der", "que"]), "rank_and2": _rank("of & the", ["of", "the"])}
     out |= {f"rank_norm_{m}": _rank("of & the", ["of", "the"], m) for m in NORMS}
-    out |= {"rank_topk": _rank_topk, "rank_general": _rank_general, "rank_forms_agree": _rank_forms_agree, "rank_distance": _rank_distance}
+    out |= {"rank_topk": _rank_topk, "rank_general": _rank_general, "rank_forms_agree": _rank_forms_agree, "rank_distance": _rank_distance, "rank_ties": _rank_ties}
     out |= {
         "postings_build": _build, "postings_search_eq_scan": _search_scan, "postings_phrase": _search_phrase, "postings_prefix": _search_prefix, "postings_negative": _search_negative, "postings_hash": _search_hash,
-        "postings_append": _append, "postings_delete": _delete, "postings_compact": _compact, "index_stats": _stats, "index_entries": _build, "index_postings": _items, "index_partitions": _partitions,
+        "postings_append": _append, "postings_delete": _delete, "postings_compact": _compact, "postings_update": _update, "index_stats": _stats, "index_entries": _entries, "index_postings": _items, "index_partitions": _partitions,
         "percolate": _percolate, "percolate_scan": _percolate_scan, "set_intersect_terms": _set_operation("intersect"), "set_union_terms": _set_operation("union"), "semi_anti_terms": _set_operation("semi_anti"),
         "attach_filter": _attach_filter, "attach_knn_both": _attach_knn("<=>"), "attach_knn_left": _attach_knn("<=|"), "attach_knn_right": _attach_knn("|=>"), "attach_text_filter": _attach_labels,
         "multicol_attach": _multicol, "fuzzy_limit": _fuzzy,
@@ -298,12 +343,19 @@ def oracle_sql() -> dict:
         WHERE list_contains(t, 'the') AND list_contains(t, 'of') AND NOT list_contains(t, 'und') ORDER BY distance, doc_id LIMIT 20) JOIN scored USING (doc_id)"""
     out |= {"rank_single": _rank_sql(words("der")), "rank_or": _rank_sql(words("the", "der", "que")), "rank_and2": _rank_sql(AND_SQL), "rank_forms_agree": _rank_sql(AND_SQL)}
     out |= {f"rank_norm_{m}": _rank_sql(AND_SQL, e) for m, e in NORMS.items()}
+    # each place gives a pair without noise, and a pair with the place after it
+    ties = """SELECT doc_id, sum(0.2 / (k * k) / 1.64493406685) + coalesce(sum(0.2 / gap / (k * k) / 1.64493406685), 0) AS s FROM (
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k, lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p AS gap FROM places WHERE w = 'the') GROUP BY doc_id"""
+    out["rank_ties"] = f"WITH {PLACES_SQL}, scored AS ({ties}) SELECT doc_id, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 5) AS score, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 5) AS searched FROM scored"
     out["rank_topk"] = f"SELECT * FROM ({_rank_sql(AND_SQL)}) ORDER BY score DESC, doc_id LIMIT 10"
     out["rank_distance"] = f"WITH {PLACES_SQL}, scored AS ({words('der')}) SELECT documents.doc_id, coalesce(round(CAST(CAST(1.0 / CAST(CAST(s AS FLOAT) AS DOUBLE) AS FLOAT) AS DOUBLE), 3), -1.0) AS distance FROM documents LEFT JOIN scored USING (doc_id)"
     entries = f"WITH {PLACES_SQL} SELECT w AS term, count(DISTINCT doc_id) AS n_rows, min(doc_id) AS first_key FROM places GROUP BY w"
     out |= {"postings_build": entries, "index_entries": entries}
     out |= {"postings_search_eq_scan": out["fts_nested"], "postings_phrase": out["fts_phrase_or"], "postings_prefix": out["fts_prefix"], "postings_negative": out["fts_negative_only"], "postings_hash": out["fts_not"], "postings_append": out["fts_and"]}
     out["postings_delete"] = where(f"{MATCHES['fts_and'][1]} AND doc_id % 3 <> 0")
+    both = MATCHES["fts_and"][1]
+    out["postings_update"] = f"""WITH {D_SQL} SELECT doc_id, n_chars FROM d WHERE doc_id % 3 = 2 AND {both} UNION ALL SELECT doc_id - 1, n_chars FROM d WHERE doc_id % 3 = 1 AND {both}
+      UNION ALL SELECT doc_id, n_chars FROM d WHERE doc_id % 3 = 0 AND doc_id + 1 NOT IN (SELECT doc_id FROM d) AND {both}"""
     count = f"""WITH {D_SQL}, p AS (SELECT DISTINCT doc_id, unnest(t) AS w FROM d WHERE CONDITION)
       SELECT MORE (SELECT count(DISTINCT doc_id) FROM d WHERE CONDITION) AS n_rows, (SELECT count(*) FROM p) AS n_postings, (SELECT count(DISTINCT w) FROM p) AS n_terms,
              (SELECT count(*) FROM d WHERE CONDITION AND len(t) = 0) AS n_placeholders, CAST(0 AS BIGINT) AS n_deleted"""

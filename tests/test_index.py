@@ -66,6 +66,30 @@ def test_changes(spark, table, tmp_path):
     assert new.stats().first().n_deleted == 0 and left.stats().first().n_deleted > 0
 
 
+def test_update_clean_and_empty(spark, table, tmp_path):
+    path = f"file://{tmp_path}/u"
+    index = postings.build_index(table, path, {"v": "tsvector_addon"}, buckets=4, attach="d", to="v", attached_kind="int4")
+    new = table.where("doc_id < 10").select("doc_id", F.lit(7).alias("d"), F.when(F.col("doc_id") % 2 == 0, analyze.to_tsvector(F.lit("fresh one"))).alias("v"))
+    for _ in range(2):
+        index.update(new)
+    assert {r.doc_id for r in index.search({"v": "fresh & one"}, filters=F.col("d") == 7).collect()} == {0, 2, 4, 6, 8}
+    expected = {r.doc_id for r in table.where(match.matches("v", "one") & (F.col("doc_id") >= 10)).collect()} | {0, 2, 4, 6, 8}
+    assert {r.doc_id for r in index.search({"v": "one"}).collect()} == expected and index.docs().count() == table.count()
+    index.delete(spark.range(10).toDF("doc_id")).append(table.where("doc_id < 10").select("doc_id", "d", "v"))
+    small = index.compact()
+    assert {r.doc_id for r in small.search({"v": "one"}).collect()} == {r.doc_id for r in table.where(match.matches("v", "one")).collect()}
+    assert small.clean() == 1 and small.clean() == 0 and postings.PostingIndex(spark, path).docs().count() == table.count()
+    empty = postings.build_index(table.limit(0), f"file://{tmp_path}/e", {"v": "tsvector", "a": "anyarray"}, buckets=4)
+    assert empty.search({"v": "one"}).count() == 0 == empty.search({"v": "!one"}).count() and empty.stats().first().n_rows == 0
+    assert empty.append(table).search({"v": "one"}).count() == table.where(match.matches("v", "one")).count()
+
+
+def test_nearest_rows_come_from_postings(index):
+    plan = index.search({"v": "one"}, filters=F.col("d") >= 2, order_by=[("<=>", "d", 6)], limit=3)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[plan.index("Join") :]
+    assert "GlobalLimit 3" in top and top.index("GlobalLimit 3") < top.rindex("/postings") if "/postings" in top else "GlobalLimit 3" in top
+
+
 def test_inspection(table, index):
     stats = index.stats().first()
     n = table.where("v is not null").select(F.sum(F.size("v"))).first()[0] + table.select(F.sum(F.size(F.array_distinct("a")))).first()[0]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import analyze, match, rank
 from lexspark.functions import tsquery as q
-from lexspark.functions.types import TSVECTOR, pack, parse_array, parse_tsvector, render_positions
+from lexspark.functions.types import TSVECTOR, TSVECTOR_DDL, pack, parse_array, parse_tsvector, render_positions
+from lexspark.operators import inverse
 
 
 def test_vector_literals():
@@ -175,3 +176,25 @@ def test_vector_functions(spark):
     assert row.n == 4 and all(x.pos is None for x in row.s)
     empty = spark.createDataFrame([("",), (None,)], "t string").select(analyze.to_tsvector("t").alias("v")).collect()
     assert empty[0].v == [] and empty[1].v is None
+
+
+def test_words_at_one_place_rank_without_noise(spark):
+    cases = {"a:5 b:5": 0.2, "a:16383 b:16383": 0.2, "a:5 b:6": 0.2, "a:5 b:7": 0.1}
+    df = spark.createDataFrame([(text, parse_tsvector(text)) for text in cases], f"text string, v {TSVECTOR_DDL}")
+    for row in df.select("text", rank.ts_score("v", "a & b").alias("closed"), rank.ts_score("v", "a & b", general=True).alias("searched")).collect():
+        expected = pytest.approx(cases[row.text] / 1.64493406685, rel=1e-6)
+        assert row.closed == expected and row.searched == expected
+
+
+def test_stored_queries_from_a_table(spark, monkeypatch):
+    monkeypatch.setattr(inverse, "SILENT_BLOCK", 2)
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, []), (4, None)], "doc_id long, words array<string>")
+    texts = ["a & b", "!a", "b | c", "!(a & b)", "!a & !c", "!b | a", "", "!zz"]
+    table = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(99, None, 0)], "query_id long, query string, program int").repartition(3)
+    expected = {(1, 0), (1, 2), (1, 5), (1, 7), (2, 1), (2, 2), (2, 3), (2, 5), (2, 7), (3, 1), (3, 3), (3, 4), (3, 5), (3, 7)}
+    stored = inverse.stored_table(table)
+    out = inverse.percolate(docs, stored, F.col("words"))
+    assert {(r.doc_id, r.query_id) for r in out.collect()} == expected and out.count() == len(expected)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+    assert inverse.percolate(docs, stored.limit(0), F.col("words")).count() == 0
