@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    A temporary folder stands in only where the setting is absent (tests on one machine).
+    A temporary folder stands in where the setting is absent and Spark runs in one process; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lexspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
