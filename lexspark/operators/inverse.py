@@ -90,9 +90,9 @@ def percolate(docs: DataFrame, stored: DataFrame, words: Column, key: str = "doc
     """
     have = docs.select(F.col(key).alias("k"), F.array_distinct(words).alias("words")).where("words is not null")
     held = have.select("k", F.explode("words").alias("lexeme"))
-    wanted = stored.select("query_id", F.explode("lexemes").alias("lexeme"))
-    hits = held.join(wanted, "lexeme").groupBy("k", "query_id").agg(F.collect_set("lexeme").alias("hits"))
-    judged = hits.join(stored.select("query_id", "program"), "query_id").select("k", "query_id", _run(F.col("program"), F.col("hits")).alias("ok"))
+    wanted = stored.select("query_id", "program", F.explode("lexemes").alias("lexeme"))
+    hits = held.join(wanted, "lexeme").groupBy("k", "query_id").agg(F.collect_set("lexeme").alias("hits"), F.first("program").alias("program"))
+    judged = hits.select("k", "query_id", _run(F.col("program"), F.col("hits")).alias("ok"))
     # queries true of an empty vector: every document that holds none of their operands matches
     silent = stored.where("empty").select("query_id", "lexemes")
     n = silent.count()
