@@ -11,9 +11,9 @@ and the runs of their Burrows-Wheeler transform, with the text place sampled at
 matching statistics of the texts, each against all other places, are read off these samples in one stream.
 
 All equal windows have the minimiser at the same place. Groups of more than ``MANY`` distinct texts (a common
-passage in different surroundings) are therefore split by what windows at one place share: first cells of
-``CELL`` neighbouring windows are counted, then the single windows of those cells that differ but share a core.
-Both are grouped counts, combined before the shuffle, so no group has to fit in a task.
+passage in different surroundings) are therefore split by what windows at one place share: cells of
+neighbouring windows are counted, and those that differ but share a core are cut into smaller cells, down to
+single windows. All of this is grouped counts, combined before the shuffle, so no group has to fit in a task.
 
 Equality of region texts, cells and windows is by 64-bit hashes within one minimiser's group (128 bits together);
 equality of documents is by a 64-bit hash of the text.
@@ -34,8 +34,10 @@ from lexspark.llm.common import marked, may_match, written
 GRAM = 64
 #: Window starts handled at once; places within a piece must fit in PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 20, 21
-#: Bytes of text under one index, the distinct texts from which a minimiser's group is split, and the windows of a cell.
-BATCH_BYTES, MANY, CELL = 1 << 20, 512, 16
+#: Bytes of text under one index, the distinct texts from which a minimiser's group is split, and the windows of the cells.
+BATCH_BYTES, MANY, CELLS = 1 << 19, 512, (64, 32, 8, 2, 1)
+#: Pairs of suffixes measured at once.
+PAIRS = 1 << 14
 #: The shortest repeated passage: bytes of a window, and words of what the windows cover.
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -148,18 +150,17 @@ class RunIndex:
             size *= 2
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of suffixes at a and b; end marks differ, so they stop it."""
-        size, live = np.zeros(len(a), np.int64), np.arange(len(a))
-        text = np.concatenate([self.text, [-1]])
-        step = 16
-        while len(live):
-            x = np.minimum(a[live, None] + size[live, None] + np.arange(step), len(self.text))
-            y = np.minimum(b[live, None] + size[live, None] + np.arange(step), len(self.text))
-            differ = text[x] != text[y]
-            any_differ = differ.any(1)
-            size[live] += np.where(any_differ, differ.argmax(1), step)
-            live = live[~any_differ]
-            step = min(128, step * 2)
+        """Lengths of the common prefixes of suffixes at a and b, some pairs at a time; end marks differ, so they stop it."""
+        text = np.concatenate([self.text, np.arange(-128, 0)])  # one step may read beyond the last mark
+        size = np.zeros(len(a), np.int64)
+        for low in range(0, len(a), PAIRS):
+            live, step = np.arange(low, min(low + PAIRS, len(a))), 16
+            while len(live):
+                differ = text[(a[live] + size[live])[:, None] + np.arange(step)] != text[(b[live] + size[live])[:, None] + np.arange(step)]
+                any_differ = differ.any(1)
+                size[live] += np.where(any_differ, differ.argmax(1), step)
+                live = live[~any_differ]
+                step = min(128, step * 2)
         return size
 
     def matching_statistics(self) -> np.ndarray:
@@ -218,37 +219,22 @@ def _hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def _cells(span: int):
-    """Cells of texts: neighbouring windows by their distance d from the minimiser, under the bytes that all such windows share."""
+def _cells(span: int, width: int):
+    """Cells of window runs: neighbouring windows by their distance d from the minimiser, under the bytes that all such windows share."""
     names = ["minimiser", "content", "first", "windows", "core", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, content, raw in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "content", "bytes"))):
-                windows = len(raw) - span + 1
-                at = int((_gram_hashes(np.frombuffer(raw[:span], np.uint8), 0) >> np.uint64(PLACE_BITS)).argmin())
-                mark = name.to_bytes(8, "little", signed=True)
-                for c in range(max(0, at - windows + 1) // CELL, at // CELL + 1):
-                    low, high = max(0, at - c * CELL - CELL + 1), min(windows - 1, at - c * CELL)
-                    core = raw[at - c * CELL : at - c * CELL - CELL + 1 + span]
-                    rows.append((name, content, low, high - low + 1, _hash(mark + c.to_bytes(8, "little") + core), _hash(mark + (at - low).to_bytes(8, "little") + raw[low : high + span])))
-            cols = list(zip(*rows)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-
-    return run
-
-
-def _windows(span: int):
-    """The single windows of cells."""
-    names = ["minimiser", "content", "first", "window"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part, rows = batch.slice(at, 1024), []
-                for name, content, raw, cells in zip(*(part.column(c).to_pylist() for c in ("minimiser", "content", "bytes", "cells"))):
-                    rows += [(name, content, w, _hash(raw[w : w + span])) for cell in cells for w in range(cell["first"], cell["first"] + cell["windows"])]
+            for low in range(0, batch.num_rows, 1024):
+                part, rows = batch.slice(low, 1024), []
+                for name, content, raw, runs in zip(*(part.column(c).to_pylist() for c in ("minimiser", "content", "bytes", "runs"))):
+                    at = int((_gram_hashes(np.frombuffer(raw[:span], np.uint8), 0) >> np.uint64(PLACE_BITS)).argmin())
+                    mark = name.to_bytes(8, "little", signed=True)
+                    for first, windows in ((r["first"], r["windows"]) for r in runs):
+                        for c in range((at - first - windows + 1) // width, (at - first) // width + 1):
+                            a, z = max(first, at - c * width - width + 1), min(first + windows - 1, at - c * width)
+                            core = raw[at - c * width : at - c * width - width + 1 + span]
+                            rows.append((name, content, a, z - a + 1, _hash(mark + c.to_bytes(8, "little") + core), _hash(mark + (at - a).to_bytes(8, "little") + raw[a : z + span])))
                 cols = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
@@ -256,17 +242,24 @@ def _windows(span: int):
 
 
 def _split_groups(texts: DataFrame, span: int) -> DataFrame:
-    """Rows (minimiser, content, first, last) of repeated windows in groups of any size."""
-    cells = written(texts.mapInArrow(_cells(span), "minimiser long, content long, first long, windows long, core long, cell long"), "cells")
-    counts = written(cells.groupBy("minimiser", "core", "cell").agg(F.count("*").alias("c")), "cell_counts")
-    equal = cells.join(counts.where("c > 1").select("minimiser", "core", "cell"), ["minimiser", "core", "cell"], "left_semi")
-    mixed = written(counts.groupBy("minimiser", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("minimiser", "core"), "cores")
-    differ = cells.join(mixed, ["minimiser", "core"], "left_semi").groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "windows")).alias("cells"))
-    single = texts.join(differ, ["minimiser", "content"]).select("minimiser", "content", "bytes", "cells").mapInArrow(_windows(span), "minimiser long, content long, first long, window long")
-    single = written(single, "windows")
-    again = written(single.groupBy("minimiser", "window").agg(F.count("*").alias("c")).where("c > 1").select("minimiser", "window"), "again")
-    runs = single.join(again, ["minimiser", "window"], "left_semi").select("minimiser", "content", "first", F.col("first").alias("last"))
-    return runs.union(equal.select("minimiser", "content", "first", (F.col("first") + F.col("windows") - 1).alias("last")))
+    """Rows (minimiser, content, first, last) of repeated windows in groups of any size: equal cells are repeated, cells
+    that differ but share a core are cut further."""
+    none = texts.select("minimiser", "content", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")).where("false")
+    if texts.isEmpty():
+        return none
+    todo, out = texts.withColumn("runs", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("bytes") - (span - 1)).cast("long").alias("windows")))), none
+    for width in CELLS:
+        cells = todo.select("minimiser", "content", "bytes", "runs").mapInArrow(_cells(span, width), "minimiser long, content long, first long, windows long, core long, cell long")
+        cells = written(cells, "cells")
+        counts = written(cells.groupBy("minimiser", "core", "cell").agg(F.count("*").alias("c")), "cell_counts")
+        again = written(counts.where("c > 1").select("minimiser", "core", "cell"), "again")
+        equal = cells.join(again, ["minimiser", "core", "cell"], "left_semi")
+        out = out.union(equal.select("minimiser", "content", "first", (F.col("first") + F.col("windows") - 1).alias("last")))
+        if width > 1:  # a single window is its own core
+            mixed = written(counts.groupBy("minimiser", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("minimiser", "core"), "cores")
+            runs = cells.join(mixed, ["minimiser", "core"], "left_semi").groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
+            todo = texts.join(runs, ["minimiser", "content"])
+    return out
 
 
 def _index_groups(span: int):
