@@ -98,24 +98,24 @@ def fit_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lan
     return LanguageModel(languages, np.stack([*columns, np.full(CELLS, -math.log(CELLS))], axis=1).astype(np.float32))
 
 
-def with_text_scores(df: DataFrame, text: Column, model: LanguageModel) -> DataFrame:
-    """``df`` with (n_grams: long, scores: array<double>) of ``text``."""
+def with_text_scores(df: DataFrame, text: str, model: LanguageModel, keep: bool = False) -> DataFrame:
+    """``df`` with (n_grams: long, scores: array<double>) of the column ``text``, which travels once, and back only with ``keep``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "n_grams long, scores array<double>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep or f.name != text), "n_grams long, scores array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [score(t) for t in part.column("__text").to_pylist()]
-                rest = [i for i, name in enumerate(part.schema.names) if name != "__text"]
+                found = [score(t) for t in part.column(text).to_pylist()]
+                rest = [i for i, name in enumerate(part.schema.names) if keep or name != text]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in rest), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.float64()))],
                     [*(part.schema.names[i] for i in rest), "n_grams", "scores"],
                 )
 
-    return df.withColumn("__text", text).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _softmax(scores: Column) -> Column:
@@ -129,16 +129,18 @@ def _numbers(values) -> Column:
 
 
 def identify(
-    df: DataFrame, model: LanguageModel, text: Column, declared: Column | None = None, host: Column | None = None, with_suffix: bool = True, accept: float = 0.5,
+    df: DataFrame, model: LanguageModel, text: Column, declared: Column | None = None, host: Column | None = None, with_suffix: bool = True, accept: float = 0.5, text_col: str | None = None,
 ) -> DataFrame:
     """``df`` with (lang_found, lang_probability, text_lang, accepted); columns of those names are replaced.
 
     ``text``, ``declared`` (a language tag) and ``host`` are columns of ``df``; each may be null: then it says
     nothing. A row is accepted if a language of the model has the largest posterior, of ``accept`` or more, and
-    its text holds a trigram of letters. Equal rows get equal results. An empty table gives no rows.
+    its text holds a trigram of letters. Equal rows get equal results. An empty table gives no rows. Where ``text`` is
+    just a column of ``df``, ``text_col`` names it, and it is not carried twice.
     """
     k = len(model.languages)
-    others = [c for c in df.columns if c not in ("lang_found", "lang_probability", "text_lang", "accepted")]
+    kept = [c for c in df.columns if c not in ("lang_found", "lang_probability", "text_lang", "accepted")]
+    others = [c for c in kept if c != text_col]
     none = F.lit(None).cast("string")
     tag = F.regexp_extract(F.lower(declared), r"^([a-z]{2,3})(?:[-_]|$)", 1) if declared is not None else none
     name = F.lower(host) if host is not None else none
@@ -146,7 +148,7 @@ def identify(
     base = df.select(
         *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(others)], F.when(tag != "", tag).alias("tag"), F.when(name != "", name).alias("host"), text.alias("__in")
     )
-    slim = with_text_scores(base.select("tag", "host", "__in"), F.col("__in"), model).drop("__in")
+    slim = with_text_scores(base.select("tag", "host", "__in"), "__in", model)
     heard = F.col("n_grams") / (1 + F.col("n_grams") / HEARD)
     flat = _numbers([math.log((1 - NONE_PRIOR) / max(1, k))] * k + [math.log(NONE_PRIOR)])
     own = _softmax(F.zip_with("scores", flat, lambda s, p: s * heard + p))
@@ -168,7 +170,7 @@ def identify(
     hosts = written(hosts, "language_hosts")
     tags = written(counts.where("tag is not null").groupBy("tag").agg(*added).select(F.col("tag").alias("of_tag"), *packed("t")), "language_tags")
 
-    scored = with_text_scores(base, F.col("__in"), model).drop("__in").withColumn("p", _softmax(F.zip_with("scores", flat, lambda s, p: s * heard + p)))
+    scored = with_text_scores(base, "__in", model, keep=text_col is not None).withColumn("p", _softmax(F.zip_with("scores", flat, lambda s, p: s * heard + p)))
     # both tables are written, so their size is known: Spark broadcasts them if small, and splits hot hosts if not
     rows = scored.join(hosts, F.col("host") == F.col("of_host"), "left").join(tags, F.col("tag") == F.col("of_tag"), "left")
     less = lambda c, i: F.greatest(F.col(c)[i] - F.col("p")[i], F.lit(0.0))
@@ -186,7 +188,7 @@ def identify(
     final = rows.withColumn("post", _softmax(F.array(*posterior)))
     lang, probability = best(F.col("post")), F.array_max("post")
     return final.select(
-        *[F.col(f"o{i}").alias(c) for i, c in enumerate(others)], probability.alias("lang_probability"), F.when(F.col("n_grams") > 0, best(F.col("p"))).alias("text_lang"),
+        *[F.col(f"o{others.index(c)}" if c != text_col else "__in").alias(c) for c in kept], probability.alias("lang_probability"), F.when(F.col("n_grams") > 0, best(F.col("p"))).alias("text_lang"),
         lang.alias("lang_found"), ((lang != NONE) & (probability >= accept) & (F.col("n_grams") > 0)).alias("accepted"),
     )
 
@@ -202,7 +204,7 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     Documents whose declared language has no model stay: nothing can be said against them.
     """
     model = fit_model(docs)
-    found = identify(docs, model, F.col("text"), declared=F.col("lang"), host=F.col("source"), with_suffix=False)
+    found = identify(docs, model, F.col("text"), declared=F.col("lang"), host=F.col("source"), with_suffix=False, text_col="text")
     declared = F.lower("lang")
     unknown = declared.isNotNull() & (declared != "") & (declared != NONE) & ~declared.isin(model.languages)
     return found.where(F.col("accepted") | F.coalesce(unknown, F.lit(False))).select(*docs.columns)
