@@ -12,10 +12,10 @@ An index list holds (size, node, position), sorted by size. It is never turned i
 2. Lists that hold more than one family are read again in blocks. A block is skipped as a whole when its sizes
    are too small, when its positions leave too few shingles to reach the threshold, or when all its entries are in
    the reader's family. Pairs across families are verified one by one.
-3. Families are compared within, in blocks of sets that travel once per pair of blocks. Links are counted for every
-   pair of sets: a set's overlaps with a block follow from those of the set before it, by the shingles in which
-   the two differ. Where only classes are asked for, families of one class are left out, and a set is held
-   against those of other classes only.
+3. Families are compared within, by differences. Each set is met once with its family's most copied set and becomes
+   what it lacks of that set and what it has besides. In families of more than one block, what only one set has counts
+   for none but itself, so sets that agree in all else have the same answers and become one profile. Profiles are
+   compared in blocks that travel once per pair of blocks; a profile answers for all of its sets.
 
 Verification receives a set with its partners in order and computes the first overlap in full; for a
 partner that differs little from the one before, it adds and subtracts the overlap of the differences.
@@ -35,8 +35,8 @@ from lexspark.llm.common import components, may_match, written
 
 #: Counters of the sketch that orders shingles, and how many travel in one row. It sets the order only, never the result.
 SKETCH, CHUNK = 1 << 21, 1 << 14
-#: Entries of a list block, and sets of a family block.
-BLOCK, FAMILY_BLOCK = 64, 512
+#: Entries of a list block; sets that meet one copy of their family's top; profiles of a family block, and shingles they hold together.
+BLOCK, MEETING, FAMILY_BLOCK, BLOCK_SHINGLES = 64, 512, 4096, 1 << 20
 #: Per cent of the union from which a verified pair belongs to one family.
 FAMILY_PERCENT = 70
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
@@ -264,43 +264,28 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _within(words: int, percent: int):
-    """Links (u, v) between sets of different classes of one family; rows arrive by (family, i, j)."""
+def _differences(words: int):
+    """Rows (node, family, copies, t, lacks, adds) of sets: the size of their family's top, and how they differ from it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, key, rows = _Words(), None, []
-
-        def found() -> pa.RecordBatch:
-            rows.sort(key=lambda r: (len(r[2]), r[0]))
-            sizes, sides = np.array([len(r[2]) for r in rows]), np.array([r[3] for r in rows])
-            labels, us, vs = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1], [], []
-            for b in range(1, len(rows)):
-                a = int(np.searchsorted(100 * sizes, percent * sizes[b]))  # the smallest set that may reach it
-                open_ = np.flatnonzero((labels[a:b] != labels[b]) & ((sides[a:b] != sides[b]) | (key[1] == key[2]))) + a
-                if not len(open_):
-                    continue
-                y, others = rows[b][2], np.concatenate([rows[c][2] for c in open_])
-                held = y[np.minimum(np.searchsorted(y, others), len(y) - 1)] == others
-                overlap = np.add.reduceat(held.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[open_])[:-1]]))
-                for c in open_[100 * overlap >= percent * (sizes[open_] + sizes[b] - overlap)].tolist():
-                    if labels[c] != labels[b]:  # one link joins two classes; the rest follows
-                        us.append(rows[c][0])
-                        vs.append(rows[b][0])
-                        labels[labels == labels[c]] = labels[b]
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+    Rows arrive by (family, part), the top first; it counts as a set of the family in part 0 only.
+    """
+    names = ["node", "family", "copies", "t", "lacks", "adds"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, key, top = _Words(), None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+                part, out = batch.slice(at, 128), []
                 sets = shingle_sets(part.column("t").to_pylist(), words, known)
-                for s, family, i, j, node, label, side in zip(sets, *(part.column(c).to_pylist() for c in ("family", "i", "j", "node", "label", "side"))):
-                    if (family, i, j) != key:
-                        if len(rows) > 1:
-                            yield found()
-                        key, rows = (family, i, j), []
-                    rows.append((node, label, s, side))
-        if len(rows) > 1:
-            yield found()
+                for s, node, copies, family, k, is_top in zip(sets, *(part.column(c).to_pylist() for c in ("node", "copies", "family", "part", "is_top"))):
+                    if is_top:
+                        key, top = (family, k), s
+                    if (family, k) != key:
+                        raise RuntimeError("a set came without its family's top")
+                    if not is_top or k == 0:
+                        out.append((node, family, copies, len(top), np.setdiff1d(top, s, assume_unique=True).view(np.int64), np.setdiff1d(s, top, assume_unique=True).view(np.int64)))
+                cols = list(zip(*out)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[4:])], names)
 
     return run
 
@@ -317,6 +302,8 @@ class _Lists:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def cells(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
         return at[self.shingles[at] == s]
 
@@ -327,50 +314,53 @@ class _Lists:
         return np.bincount(self.owners[at], minlength=self.n)
 
 
-def _count_within(words: int, percent: int):
-    """Within one family, rows (u, v, null) that link sets of different classes, and rows (u, null, n) with the
-    rows that ``u`` links with in the two blocks; rows arrive by (family, i, j)."""
+def _count_within(percent: int):
+    """Within one family, rows (u, v, null) that link profiles, and rows (u, null, n) with the rows that profile ``u``
+    links with in other profiles of the two blocks; rows arrive by (family, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, key, rows = _Words(), None, []
+        key, rows = None, []  # (pid, t, a, size, copies, side, differences)
 
         def found() -> pa.RecordBatch:
-            rows.sort(key=lambda r: (len(r[2]), r[0]))
+            rows.sort(key=lambda r: (r[3], r[0]))
             one_block = key[1] == key[2]
-            left = [r for r in rows if one_block or not r[3]]
-            right = rows if one_block else [r for r in rows if r[3]]
+            left = [r for r in rows if one_block or not r[5]]
+            right = rows if one_block else [r for r in rows if r[5]]
             us, vs, ns = [], [], []
             if left and right:
-                names = {x: k for k, x in enumerate(sorted({r[1] for r in rows}))}
-                labels = np.arange(len(names))  # what each class is joined to so far
-                classes, others = np.array([names[r[1]] for r in left]), _Lists([r[2] for r in left])
-                sizes, copies = np.array([len(r[2]) for r in left]), np.array([r[4] for r in left])
-                back, last, overlap = np.zeros(len(left), np.int64), None, None
-                for b, (node, label, y, _, many) in enumerate(right):
-                    cells = others.cells(y)
+                lists = _Lists([r[6] for r in left])
+                lacks, sizes, copies = (np.array([r[k] for r in left], np.int64) for k in (2, 3, 4))
+                back, last, common = np.zeros(len(left), np.int64), None, None
+                labels = np.arange(len(left))  # what the left profiles are joined to so far
+                for b, (pid, t, a, size, many, _, differences) in enumerate(right):
+                    cells = lists.cells(differences)
                     if last is not None:
                         gone, new = np.setdiff1d(last, cells, assume_unique=True), np.setdiff1d(cells, last, assume_unique=True)
-                    if last is not None and len(gone) + len(new) < len(cells):  # similar: only the differences are looked up
-                        overlap = overlap + others.held(new) - others.held(gone)
+                    if last is not None and len(gone) + len(new) < len(cells):  # similar to the one before: only the differences are looked up
+                        common = common + lists.held(new) - lists.held(gone)
                     else:
-                        overlap = others.held(cells)
+                        common = lists.held(cells)
                     last = cells
-                    linked = 100 * overlap >= percent * (sizes + len(y) - overlap)
+                    overlap = t - a - lacks + common
+                    linked = 100 * overlap >= percent * (sizes + size - overlap)
                     if one_block:
                         linked[b] = False
                     else:
                         back[linked] += many
-                    if n := int(copies[linked].sum()):
-                        us.append(node)
-                        vs.append(None)
-                        ns.append(n)
-                    own = labels[names[label]]
-                    for c in np.flatnonzero(linked & (labels[classes] != own)).tolist():
-                        if labels[classes[c]] != own:  # one link joins two classes; the rest follows
-                            us.append(left[c][0])
-                            vs.append(node)
-                            ns.append(None)
-                            labels[labels == labels[classes[c]]] = own
+                    at = np.flatnonzero(linked)
+                    if not len(at):
+                        continue
+                    us.append(pid)
+                    vs.append(None)
+                    ns.append(int(copies[at].sum()))
+                    own = labels[b] if one_block else -1
+                    heads, where = np.unique(labels[at], return_index=True)
+                    for c in at[where[heads != own]].tolist():  # one link for each class; the rest follows
+                        us.append(left[c][0])
+                        vs.append(pid)
+                        ns.append(None)
+                    if len(heads) > 1 or heads[0] != own and one_block:
+                        labels[np.isin(labels, np.append(heads, own))] = heads[0]
                 for c in np.flatnonzero(back).tolist():
                     us.append(left[c][0])
                     vs.append(None)
@@ -378,22 +368,60 @@ def _count_within(words: int, percent: int):
             return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], ["u", "v", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = shingle_sets(part.column("t").to_pylist(), words, known)
-                for s, family, i, j, *row in zip(sets, *(part.column(c).to_pylist() for c in ("family", "i", "j", "node", "label", "side", "copies"))):
-                    if (family, i, j) != key:
-                        if len(rows) > 1:
-                            yield found()
-                        key, rows = (family, i, j), []
-                    node, label, side, copies = row
-                    rows.append((node, label, s, side, copies))
+            differences = batch.column("d")
+            for at, (family, i, j, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "pid", "t", "a", "size", "w", "side")))):
+                if (family, i, j) != key:
+                    if len(rows) > 1:
+                        yield found()
+                    key, rows = (family, i, j), []
+                rows.append((*row, np.sort(differences[at].values.to_numpy(zero_copy_only=False))))
         if len(rows) > 1:
             yield found()
 
     return run
 
 
+def _compared(met: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) that join the classes of each family, and (u, n): the rows that set ``u`` links with, without its own copies.
+
+    ``met`` has (family, part, node, is_top, copies, t): the sets of each family in parts, and its top in each part.
+    """
+    order = met.repartition("family", "part").sortWithinPartitions("family", "part", F.col("is_top").cast("int").desc())
+    sets = written(order.mapInArrow(_differences(words), "node long, family long, copies long, t long, lacks array<long>, adds array<long>"), "differences")
+    many = sets.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > FAMILY_BLOCK).select("family")
+    # shingles that one set of the family alone has besides: its count and hashes are taken out of what names its profile
+    alone = sets.join(written(many, "large"), "family", "left_semi").select("family", "node", F.explode("adds").alias("e"))
+    alone = alone.groupBy("family", "e").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("own"), F.bit_xor(F.xxhash64("e")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "e")).alias("x2"))
+    zero = F.lit(0).cast("long")
+    shared = lambda hashed, x: F.aggregate("adds", zero, lambda s, e: s.bitwiseXOR(hashed(e))).bitwiseXOR(F.coalesce(x, zero))
+    own, a, b = F.coalesce("own", zero).alias("own"), F.size("lacks").cast("long"), F.size("adds").cast("long")
+    named = sets.join(written(alone, "alone"), "node", "left").select(
+        "node", "family", "copies", "t", a.alias("a"), own, (F.col("t") - a + b).alias("size"), F.concat("lacks", "adds").alias("d"),
+        F.xxhash64("family", b, own, "lacks", shared(F.xxhash64, F.col("x1"))).alias("k1"),
+        F.xxhash64(F.lit(1), "family", b, own, "lacks", shared(lambda e: F.xxhash64(F.lit(1), e), F.col("x2"))).alias("k2"),
+    )
+    named = written(named, "named")
+    profiles = named.groupBy("k1", "k2", "family", "t", "a", "own", "size").agg(F.min(F.struct("node", "d")).alias("first"), F.sum("copies").alias("w"), F.count("*").alias("m"))
+    overlap = F.col("size") - F.col("own")  # of two sets of one profile
+    inside = (F.col("m") > 1) & (100 * overlap >= percent * (2 * F.col("size") - overlap))
+    profiles = written(profiles.select("k1", "k2", "family", "t", "a", "size", "w", F.col("first.node").alias("pid"), F.col("first.d").alias("d"), inside.alias("inside")), "profiles")
+
+    blocks = F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum(F.size("d") + 8) / BLOCK_SHINGLES)).cast("int")
+    blocks = written(profiles.groupBy("family").agg(blocks.alias("blocks")), "blocks")
+    placed = profiles.join(blocks, "family").withColumn("at", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("family", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("side"), "pid", "t", "a", "size", "w", "d")
+    keys = ["family", "i", "j"]
+    inner = written(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_count_within(percent), "u long, v long, n long"), "links")
+
+    others = inner.where("v is null").groupBy(F.col("u").alias("pid")).agg(F.sum("n").alias("n"))
+    answers = profiles.select("k1", "k2", "pid", "w", "inside").join(others, "pid", "left").where("inside or n > 0")
+    answered = named.select("node", "copies", "k1", "k2").join(written(answers, "answers"), ["k1", "k2"])
+    counts = answered.select(F.col("node").alias("u"), (F.coalesce("n", zero) + F.when(F.col("inside"), F.col("w") - F.col("copies")).otherwise(zero)).alias("n"))
+    edges = inner.where("v is not null").select("u", "v").union(answered.where("node <> pid").select(F.col("node").alias("u"), F.col("pid").alias("v")))
+    return edges, counts
+
+
 def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """One row per row of ``df``: (id, n_shingles, component_id, text_hash, n_links), ids as long.
 
@@ -444,20 +472,17 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     members = families.join(classes.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = members.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"))
     sizes = sizes if count_links else sizes.where("a <> b")
-    blocks = members.join(sizes.select("family", F.ceil(F.col("m") / FAMILY_BLOCK).cast("int").alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "node", "family", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side")
-    )
-    keys = ["family", "i", "j"]
-    compared = with_texts(dealt).repartition(*keys).sortWithinPartitions(*keys)
-    if count_links:
-        inner = written(compared.mapInArrow(_count_within(words, percent), "u long, v long, n long"), "links")
-    else:
-        inner = written(compared.mapInArrow(_within(words, percent), "u long, v long"), "links")
-    final = components(links.union(more).union(inner.where("v is not null").select("u", "v")))
+    inside = written(members.join(sizes.select("family"), "family", "left_semi").join(sources, "node").select("family", "node", "copies"), "members")
+    tops = inside.groupBy("family").agg(F.min(F.struct(-F.col("copies"), "node")).alias("top"), F.ceil(F.count("*") / MEETING).cast("int").alias("parts"))
+    tops = written(tops.select("family", F.col("top.node").alias("top"), "parts"), "tops")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = inside.join(tops, "family").where("node <> top").select("family", part.alias("part"), "node", F.lit(False).alias("is_top"))
+    each = tops.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("top").alias("node"), F.lit(True).alias("is_top"))
+    edges, linked = _compared(with_texts(others.union(each)), words, percent)
+    final = components(links.union(more).union(edges))
     if count_links:
         ends = more.union(more.select("v", "u")).join(sources.select(F.col("node").alias("v"), F.col("copies").alias("n")), "v")
-        counts = ends.select("u", "n").union(inner.where("v is null").select("u", "n")).groupBy("u").agg(F.sum("n").alias("linked"))
+        counts = ends.select("u", "n").union(linked).groupBy("u").agg(F.sum("n").alias("linked"))
         own = sources.join(counts.withColumnRenamed("u", "node"), "node", "left").select("node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         # written, as ``least`` below
         nodes = nodes.join(written(own.where("n_links > 0"), "counts"), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))

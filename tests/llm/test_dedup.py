@@ -61,6 +61,7 @@ def near_copies(pick):
 
 def test_jaccard_classes_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FAMILY_BLOCK", 32)
+    monkeypatch.setattr(jaccard, "MEETING", 20)
     texts = near_copies(random.Random(11))
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("h", F.lit(1))
@@ -85,6 +86,28 @@ def test_jaccard_links_are_all_counted(spark, monkeypatch):
     assert found == expected and len(set(expected.values())) > 10
 
 
+@pytest.mark.parametrize("block", [4, 4096])
+def test_sets_of_one_profile_link_as_brute_force_says(spark, monkeypatch, block):
+    """Sets that lack the same shingles, and have others of their own or shared ones besides, with copies."""
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", block)
+    pick = random.Random(17)
+    center, texts = words(pick, 100, 9000), []
+    for place in (10, 40, 70):
+        for second in (None, 20, 85):
+            for k in range(4):
+                text = list(center)
+                for at in (place, second):
+                    if at is not None:
+                        text[at] = f"s{at}" if k == 3 else f"e{pick.randrange(10**9)}"
+                texts += [" ".join(text)] * pick.choice([1, 1, 3])
+    rows = list(enumerate([*texts, " ".join(center), " ".join(center)]))
+    sets = brute.word_sets(rows)
+    expected = {a: sum(1 for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a in sets}
+    found = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.id: r.n_links for r in found} == expected and len(set(expected.values())) > 3
+    assert {r.id: r.component_id for r in found} == {d: c for d, (_, c) in brute.jaccard_classes(rows).items()}
+
+
 def test_one_of_each_class(spark):
     rows = [(5, "a b c d e f", "x"), (3, "a b c d e f", "y"), (3, "a b c d e f", "y"), (9, "", "z"), (8, None, "z"), (1, "other words stand in this text", "z")]
     kept = jaccard.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string, owner string"))
