@@ -7,8 +7,9 @@ two sets that reach the threshold share at least one indexed shingle, whatever t
 
 An index list holds (size, node, position), sorted by size. It is never turned into all its pairs:
 
-1. Each entry is paired with the entry before it. The pairs are verified; those that reach the threshold give
-   classes, those that come near it give families of classes.
+1. Each entry is paired with the entry before it. Two pairs of each set are verified first, the most frequent one among
+   them; those that reach the threshold give classes, those that come near it give families of classes. Then each
+   entry is paired with one entry of another family anywhere before it, so that families whose sizes differ meet too.
 2. Lists that hold more than one family are read again in blocks. A block is skipped as a whole when its sizes
    are too small, when its positions leave too few shingles to reach the threshold, or when all its entries are in
    the reader's family. Pairs across families are verified one by one.
@@ -191,8 +192,9 @@ def _chain(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of a list's entries that are in different families and may reach the threshold."""
+def _across(percent: int, one: bool = False):
+    """Pairs of a list's entries that are in different families and may reach the threshold; with ``one``, each entry
+    gives one of its pairs at most, with an entry that is anywhere before it in the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, blocks, found = None, [], set()
@@ -203,18 +205,25 @@ def _across(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for sh, n, node, pos, before, label in zip(*(c.to_pylist() for c in (batch.column(x) for x in ("shingle", "n", "node", "pos", "before", "label")))):
+            for sh, n, node, pos, label in zip(*(batch.column(c).to_pylist() for c in ("shingle", "n", "node", "pos", "label"))):
                 if sh != shingle:
                     shingle, blocks = sh, []
                 while blocks and 100 * blocks[0]["max_n"] < percent * n:
                     blocks.pop(0)
                 need = _needed(n + -(-percent * n // 100), percent)  # with the smallest partner
-                for block in blocks:
+                met = False
+                turn = node % len(blocks) if one and blocks else 0
+                for block in blocks[turn:] + blocks[:turn] if turn else blocks:
                     if 100 * block["max_n"] < percent * n or block["label"] == label or min(block["most_left"], n - pos) < need:
                         continue
-                    for m, other, at, other_label in block["rows"]:
-                        if other_label != label and other != before and 100 * m >= percent * n and min(m - at, n - pos) >= _needed(n + m, percent):
+                    turn = (node >> 20) % len(block["rows"]) if one else 0
+                    for m, other, at, other_label in block["rows"][turn:] + block["rows"][:turn] if turn else block["rows"]:
+                        if other_label != label and 100 * m >= percent * n and min(m - at, n - pos) >= _needed(n + m, percent):
                             found.add((min(node, other), max(node, other)))
+                            if met := one:
+                                break
+                    if met:
+                        break
                 if not blocks or len(blocks[-1]["rows"]) >= BLOCK:
                     blocks.append({"rows": [], "max_n": 0, "most_left": 0, "label": label})
                 block = blocks[-1]
@@ -458,15 +467,26 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         met = with_texts(ends).repartition("owner").sortWithinPartitions("owner", F.col("node") != F.col("owner"), "node")
         return written(met.select("owner", "node", "t").mapInArrow(_verify(words, percent), "u long, v long, linked boolean"), "links")
 
-    pairs = lists.where("before is not null").select(F.least("node", "before").alias("u"), F.greatest("node", "before").alias("v")).distinct()
+    def open_entries(families: DataFrame) -> DataFrame:
+        """Entries of the lists that hold more than one family, in order, with their families as labels."""
+        labelled = lists.join(families.withColumnRenamed("family", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_lists = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
+        return labelled.join(open_lists, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+
+    def families_of(near: DataFrame) -> DataFrame:
+        return written(components(near.select("u", "v")), "families").withColumnRenamed("component", "family")
+
+    neighbours = lists.where("before is not null").groupBy("node", "before").agg(F.count("*").alias("c")).groupBy("node")
+    first = neighbours.agg(F.max(F.struct("c", "before")).getField("before").alias("p"), F.min("before").alias("q"))
+    pairs = first.select("node", F.explode(F.array("p", "q")).alias("before")).select(F.least("node", "before").alias("u"), F.greatest("node", "before").alias("v")).distinct()
     near = verified(written(pairs, "pairs"))
+    pairs = open_entries(families_of(near)).mapInArrow(_across(percent, one=True), "u long, v long").distinct()
+    near = near.union(verified(written(pairs, "pairs")))
     links = near.where("linked").select("u", "v")
     classes = written(components(links), "classes")
-    families = written(components(near.select("u", "v")), "families").withColumnRenamed("component", "family")
+    families = families_of(near)
 
-    labelled = lists.join(families.withColumnRenamed("family", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_lists = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
-    across = labelled.join(open_lists, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_across(percent), "u long, v long")
+    across = open_entries(families).mapInArrow(_across(percent), "u long, v long")
     more = verified(written(across.distinct(), "pairs")).where("linked").select("u", "v")  # each pair is here: families differ
 
     members = families.join(classes.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
