@@ -467,26 +467,25 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         met = with_texts(ends).repartition("owner").sortWithinPartitions("owner", F.col("node") != F.col("owner"), "node")
         return written(met.select("owner", "node", "t").mapInArrow(_verify(words, percent), "u long, v long, linked boolean"), "links")
 
-    def open_entries(families: DataFrame) -> DataFrame:
-        """Entries of the lists that hold more than one family, in order, with their families as labels."""
-        labelled = lists.join(families.withColumnRenamed("family", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_lists = labelled.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle")
-        return labelled.join(open_lists, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    def labelled(families: DataFrame) -> DataFrame:
+        """Entries of all lists in order, with their families as labels; lists of one family give nothing and need not be told apart."""
+        named = lists.select("shingle", "n", "node", "pos").join(families.withColumnRenamed("family", "label"), "node", "left")
+        return named.withColumn("label", F.coalesce("label", "node")).repartition("shingle").sortWithinPartitions("shingle", "n", "node")
 
     def families_of(near: DataFrame) -> DataFrame:
         return written(components(near.select("u", "v")), "families").withColumnRenamed("component", "family")
 
-    neighbours = lists.where("before is not null").groupBy("node", "before").agg(F.count("*").alias("c")).groupBy("node")
+    neighbours = lists.where("before is not null").select("node", "before").repartition("node").groupBy("node", "before").agg(F.count("*").alias("c")).groupBy("node")
     first = neighbours.agg(F.max(F.struct("c", "before")).getField("before").alias("p"), F.min("before").alias("q"))
     pairs = first.select("node", F.explode(F.array("p", "q")).alias("before")).select(F.least("node", "before").alias("u"), F.greatest("node", "before").alias("v")).distinct()
     near = verified(written(pairs, "pairs"))
-    pairs = open_entries(families_of(near)).mapInArrow(_across(percent, one=True), "u long, v long").distinct()
+    pairs = labelled(families_of(near)).mapInArrow(_across(percent, one=True), "u long, v long").distinct()
     near = near.union(verified(written(pairs, "pairs")))
     links = near.where("linked").select("u", "v")
     classes = written(components(links), "classes")
     families = families_of(near)
 
-    across = open_entries(families).mapInArrow(_across(percent), "u long, v long")
+    across = labelled(families).mapInArrow(_across(percent), "u long, v long")
     more = verified(written(across.distinct(), "pairs")).where("linked").select("u", "v")  # each pair is here: families differ
 
     members = families.join(classes.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
