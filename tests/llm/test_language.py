@@ -157,3 +157,53 @@ def test_scores_of_documents(spark):
     assert gru.score_documents(df.limit(0)).count() == 0
     alone = gru.score_documents(spark.createDataFrame([(i, "x y") for i in range(1, 400) if not learnt(i)], "doc_id long, text string"))
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in alone.collect())
+
+
+def plain_posteriors(model, rows):
+    """Posteriors of rows (text, tag, host), each with its own share taken out of all counts."""
+    k = len(model.languages)
+
+    def softmax(v):
+        e = [math.exp(x - max(v)) for x in v]
+        return [x / sum(e) for x in e]
+
+    scored = [model.score(t) for t, _, _ in rows]
+    heard = [n / (1 + n / langid.HEARD) for n, _ in scored]
+    flat = [math.log((1 - langid.NONE_PRIOR) / k)] * k + [math.log(langid.NONE_PRIOR)]
+    p = [softmax([x * w + f for x, f in zip(s, flat)]) for (_, s), w in zip(scored, heard)]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1] if "." in h else None
+    total, out = len(rows), []
+    for at, (_, tag, host) in enumerate(rows):
+        post = []
+        for i in range(k + 1):
+            whole = sum(x[i] for x in p)
+
+            def count(same):
+                held = [x[i] for x, r in zip(p, rows) if same(r)]  # noqa: B023
+                return max(sum(held) - p[at][i], 0.0), len(held)  # noqa: B023
+
+            prior = everywhere = (whole + 1) / (total + k + 1)
+            if host:
+                c, n = count(lambda r: r[2] and domain(r[2]) == domain(host))  # noqa: B023
+                d = (c + langid.DOMAIN_WEIGHT * everywhere) / (n - 1 + langid.DOMAIN_WEIGHT)
+                c, n = count(lambda r: r[2] == host)  # noqa: B023
+                prior = (c + langid.HOST_WEIGHT * d) / (n - 1 + langid.HOST_WEIGHT)
+            value = scored[at][1][i] * heard[at] + math.log(prior)
+            for same in ([lambda r: r[1] == tag] if tag else []) + ([lambda r: r[2] and suffix(r[2]) == suffix(host)] if host and suffix(host) else []):  # noqa: B023
+                c, n = count(same)
+                value += math.log((c + langid.TAG_WEIGHT * n / total) / (whole + langid.TAG_WEIGHT))
+            post.append(value)
+        out.append(softmax(post))
+    return out
+
+
+def test_posteriors_match_plain_version(spark, model):
+    texts = ["the house", "der", "une maison dans la rue", "", "of the and", "xq zv", None, "la", "und die", "la casa"]
+    hosts = ["a.one.de", "b.one.de", "two.fr", None, "local", "a.one.de"]
+    rows = [(i, texts[i % len(texts)], [None, "en", "de", "fr"][i % 4], hosts[i % len(hosts)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, tag string, host string").repartition(3)
+    found = {r.id: r for r in langid.identify(df, model, F.col("text"), declared=F.col("tag"), host=F.col("host")).collect()}
+    for (i, *_), post in zip(rows, plain_posteriors(model, [r[1:] for r in rows])):
+        assert abs(found[i].lang_probability - max(post)) < 1e-9
+        assert sorted(post)[-1] - sorted(post)[-2] < 1e-9 or found[i].lang_found == [*model.languages, langid.NONE][post.index(max(post))]
