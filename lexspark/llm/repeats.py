@@ -13,7 +13,8 @@ matching statistics of the texts, each against all other places, are read off th
 All equal windows have the minimiser at the same place. Groups of more than ``MANY`` distinct texts (a common
 passage in different surroundings) are therefore split by what windows at one place share: cells of
 neighbouring windows are counted, and those that differ but share a core are cut into smaller cells, down to
-single windows. All of this is grouped counts, combined before the shuffle, so no group has to fit in a task.
+single windows. All of this is grouped counts, combined before the shuffle, so no group has to fit in a task. The
+counts name the text of a window that stands once; all other windows of the group's texts are repeated.
 
 Equality of region texts, cells and windows is by 64-bit hashes within one minimiser's group (128 bits together);
 equality of documents is by a 64-bit hash of the text.
@@ -35,7 +36,7 @@ GRAM = 64
 #: Window starts handled at once; places within a piece must fit in PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 20, 21
 #: Bytes of text under one index, the distinct texts from which a minimiser's group is split, and the windows of the cells.
-BATCH_BYTES, MANY, CELLS = 1 << 19, 512, (64, 32, 8, 2, 1)
+BATCH_BYTES, MANY, CELLS = 1 << 19, 512, (64, 16, 4, 1)
 #: Pairs of suffixes measured at once.
 PAIRS = 1 << 14
 #: The shortest repeated passage: bytes of a window, and words of what the windows cover.
@@ -221,7 +222,7 @@ def _hash(raw: bytes) -> int:
 
 def _cells(span: int, width: int):
     """Cells of window runs: neighbouring windows by their distance d from the minimiser, under the bytes that all such windows share."""
-    names = ["minimiser", "content", "first", "windows", "core", "cell"]
+    names = ["minimiser", "content", "first", "windows", "c", "core", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +231,11 @@ def _cells(span: int, width: int):
                 for name, content, raw, runs in zip(*(part.column(c).to_pylist() for c in ("minimiser", "content", "bytes", "runs"))):
                     at = int((_gram_hashes(np.frombuffer(raw[:span], np.uint8), 0) >> np.uint64(PLACE_BITS)).argmin())
                     mark = name.to_bytes(8, "little", signed=True)
-                    for first, windows in ((r["first"], r["windows"]) for r in runs):
+                    for first, windows, count in ((r["first"], r["windows"], r["c"]) for r in runs):
                         for c in range((at - first - windows + 1) // width, (at - first) // width + 1):
                             a, z = max(first, at - c * width - width + 1), min(first + windows - 1, at - c * width)
                             core = raw[at - c * width : at - c * width - width + 1 + span]
-                            rows.append((name, content, a, z - a + 1, _hash(mark + c.to_bytes(8, "little") + core), _hash(mark + (at - a).to_bytes(8, "little") + raw[a : z + span])))
+                            rows.append((name, content, a, z - a + 1, count, _hash(mark + c.to_bytes(8, "little", signed=True) + core), _hash(mark + (at - a).to_bytes(8, "little") + raw[a : z + span])))
                 cols = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
@@ -242,24 +243,34 @@ def _cells(span: int, width: int):
 
 
 def _split_groups(texts: DataFrame, span: int) -> DataFrame:
-    """Rows (minimiser, content, first, last) of repeated windows in groups of any size: equal cells are repeated, cells
-    that differ but share a core are cut further."""
-    none = texts.select("minimiser", "content", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")).where("false")
-    if texts.isEmpty():
-        return none
-    todo, out = texts.withColumn("runs", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("bytes") - (span - 1)).cast("long").alias("windows")))), none
-    for width in CELLS:
-        cells = todo.select("minimiser", "content", "bytes", "runs").mapInArrow(_cells(span, width), "minimiser long, content long, first long, windows long, core long, cell long")
-        cells = written(cells, "cells")
-        counts = written(cells.groupBy("minimiser", "core", "cell").agg(F.count("*").alias("c")), "cell_counts")
-        again = written(counts.where("c > 1").select("minimiser", "core", "cell"), "again")
-        equal = cells.join(again, ["minimiser", "core", "cell"], "left_semi")
-        out = out.union(equal.select("minimiser", "content", "first", (F.col("first") + F.col("windows") - 1).alias("last")))
-        if width > 1:  # a single window is its own core
-            mixed = written(counts.groupBy("minimiser", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("minimiser", "core"), "cores")
-            runs = cells.join(mixed, ["minimiser", "core"], "left_semi").groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
+    """Rows (minimiser, content, first, last) of repeated windows in groups of any size.
+
+    Cells that stand more than once are repeated, and cells alone under their core are not. Of the others, each
+    different cell goes on to the next width once, by any of the texts that have it and with their count. What is
+    left of a text without its windows that stand once is repeated, so nobody is joined with the cells that repeat.
+    """
+    windows = (F.octet_length("bytes") - (span - 1)).cast("long")
+    alone = texts.select("minimiser", "content", F.lit(None).cast("long").alias("first"), windows.alias("windows"))  # each text in full
+    if not texts.isEmpty():
+        todo = texts.withColumn("runs", F.array(F.struct(F.lit(0).cast("long").alias("first"), windows.alias("windows"), F.lit(1).cast("long").alias("c"))))
+        owner = [F.first(c).alias(c) for c in ("content", "first", "windows")]
+        for width in CELLS:
+            cells = todo.select("minimiser", "content", "bytes", "runs").mapInArrow(_cells(span, width), "minimiser long, content long, first long, windows long, c long, core long, cell long")
+            counts = written(cells.groupBy("minimiser", "core", "cell").agg(F.sum("c").alias("c"), *owner), "cell_counts")
+            if width == 1:  # a single window is its own core
+                alone = alone.union(counts.where("c = 1").select("minimiser", "content", "first", "windows"))
+                break
+            cores = written(counts.groupBy("minimiser", "core").agg(F.count("*").alias("kinds"), F.sum("c").alias("c"), *owner), "cores")
+            alone = alone.union(cores.where("c = 1").select("minimiser", "content", "first", "windows"))
+            mixed = counts.join(cores.where("kinds > 1").select("minimiser", "core"), ["minimiser", "core"], "left_semi")
+            runs = mixed.groupBy("minimiser", "content").agg(F.collect_list(F.struct("first", "windows", "c")).alias("runs"))
             todo = texts.join(runs, ["minimiser", "content"])
-    return out
+    once = F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "windows"))))
+    of_text = alone.groupBy("minimiser", "content").agg(F.max(F.when(F.col("first").isNull(), F.col("windows"))).alias("all"), once.alias("once"))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("once", lambda x: x["first"] + x["windows"]))
+    lasts = F.concat(F.transform("once", lambda x: x["first"] - 1), F.array(F.col("all") - 1))
+    left = F.filter(F.zip_with(starts, lasts, lambda a, z: F.struct(a.alias("first"), z.alias("last"))), lambda r: r["first"] <= r["last"])
+    return of_text.select("minimiser", "content", F.explode(left).alias("r")).select("minimiser", "content", "r.first", "r.last")
 
 
 def _index_groups(span: int):
