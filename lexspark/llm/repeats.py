@@ -34,11 +34,11 @@ from lexspark.llm.common import marked, may_match, written
 
 GRAM = 64
 #: Window starts handled at once; places within a piece must fit in PLACE_BITS.
-PIECE, PLACE_BITS = 1 << 20, 21
+PIECE, PLACE_BITS = 1 << 18, 21
 #: Bytes of text under one index, the distinct texts from which a minimiser's group is split, and the windows of the cells.
 BATCH_BYTES, MANY, CELLS = 1 << 19, 512, (64, 16, 4, 1)
 #: Pairs of suffixes measured at once.
-PAIRS = 1 << 14
+PAIRS = 1 << 13
 #: The shortest repeated passage: bytes of a window, and words of what the windows cover.
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -440,11 +440,17 @@ def remove_repeats(
     raw = F.coalesce(F.col(f"`{text_col}`").cast("string").cast("binary"), F.lit(b""))
     named = df.select(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(carry)], F.xxhash64(raw).alias("doc"), raw.alias("b"))
     runs = written(repeated_windows(named, span, passage_bytes), "doc_spans").withColumnRenamed("doc", "p")
-    touched = named.join(runs, F.col("doc") == F.col("p"), "left").drop("doc", "p")
+    # texts that lose nothing (most of them) are neither shuffled nor sent to Python
+    may = F.col("may") | ~F.is_valid_utf8(F.col("b").cast("string")) if as_text else F.col("may")
+    told = marked(named, "doc", runs, "p", "may").withColumn("may", may)
+    touched = told.where("may").join(runs, F.col("doc") == F.col("p"), "left")
     slots = [f"o{i}" for i in range(len(carry))]
     types = {f.name: f.dataType.simpleString() for f in named.schema}
     schema = ", ".join([*(f"{s} {types[s]}" for s in slots), f"kept {'string' if as_text else 'binary'}, spans {SPANS}, passages {SPANS}"])
     out = touched.select(*slots, "b", "runs", "short_runs").mapInArrow(_remove(slots, as_text, span, words, passage_bytes, passage_words), schema)
+    nothing = F.array().cast(SPANS)
+    whole = told.where("not may").select(*slots, (F.col("b").cast("string") if as_text else F.col("b")).alias("kept"), nothing.alias("spans"), nothing.alias("passages"))
+    out = out.union(whole)
     return out.select(*[F.col(s).alias(c) for s, c in zip(slots, carry)], *made)
 
 
