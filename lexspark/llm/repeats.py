@@ -36,7 +36,7 @@ GRAM = 64
 #: Window starts handled at once; places within a piece must fit in PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 18, 21
 #: Bytes of text under one index, the distinct texts from which a minimiser's group is split, and the windows of the cells.
-BATCH_BYTES, MANY, CELLS = 1 << 19, 512, (64, 16, 4, 1)
+BATCH_BYTES, MANY, CELLS = 1 << 17, 512, (64, 16, 4, 1)
 #: Pairs of suffixes measured at once.
 PAIRS = 1 << 13
 #: The shortest repeated passage: bytes of a window, and words of what the windows cover.
