@@ -159,6 +159,94 @@ def test_scores_of_documents(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in alone.collect())
 
 
+def grouped_model(words=900, seed=4):
+    """A model over ``words`` words with random weights, most of them in groups, and its layout."""
+    rng = np.random.default_rng(seed)
+    names = [f"{i:x}{'ab'[i % 2]}en".encode() for i in range(words)]
+    layout = gru.Layout(names, np.arange(words, 0, -1))
+    mass, place = rng.random(layout.units) + 0.1, rng.permutation(layout.units)
+    vectors = rng.normal(0, 0.4, (2, len(layout.group), gru.STATE))
+    return gru.Gru(gru.Gru.start(mass / mass.sum(), place, classes=layout.classes), place, layout.classes, layout.group, layout.share, vectors), layout
+
+
+def test_every_frequent_word_has_a_code_of_its_own():
+    for words in (0, 100, 159, 160, 900, 40_000):
+        names = [f"{i}en".encode() for i in range(words)]
+        layout = gru.Layout(names, np.arange(words, 0, -1))
+        assert len(set(layout.codes.tolist())) == words and layout.units == layout.classes * layout.members and layout.endings >= gru.ENDINGS
+        assert len(layout.group) == max(0, words - gru.SINGLE + 1) and np.bincount(layout.group, minlength=1).max() <= 256
+        groups = np.bincount(layout.group, layout.share, layout.units)[np.unique(layout.group)]
+        assert np.allclose(groups, 1, atol=1e-5)
+    assert gru.unpacked_codes(gru.packed_codes(layout.codes)).tolist() == layout.codes.tolist()
+    assert layout.units > gru.UNITS  # grows with the words
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    model, layout = grouped_model()
+    state = np.random.default_rng(1).normal(size=gru.STATE).astype(np.float32)
+    total = np.exp(model.log_probabilities(np.tile(state, (model.units, 1)), np.arange(model.units)).astype(float))
+    words = np.arange(len(layout.group))
+    within = np.exp(model.tilts(np.tile(state, (len(words), 1)), words).astype(float)) * layout.share
+    groups = np.unique(layout.group)
+    assert np.allclose(np.bincount(layout.group, within, model.units)[groups], 1, atol=1e-4)
+    everything = total.sum() - total[groups].sum() + (total[layout.group] * within).sum()
+    assert everything == pytest.approx(1, abs=1e-4) and abs(within - layout.share).max() > 1e-3
+
+
+def test_gradients_of_word_vectors_by_differences():
+    model, layout = grouped_model()
+    rng = np.random.default_rng(6)
+    words = np.sort(rng.integers(0, len(layout.group), 300))
+    states = rng.normal(size=(300, gru.STATE)).astype(np.float32)
+    grads = np.zeros(model.vout.shape)
+    for low, high, g in model.word_gradients(states, words):
+        grads[low:high] += g
+    for at in np.argsort(-abs(grads).ravel())[:20]:
+        old, ends = model.vout.flat[at], []
+        for by in (1e-2, -1e-2):
+            model.vout.flat[at] = old + by
+            ends.append(-float(model.tilts(states, words).astype(float).sum()))
+        model.vout.flat[at] = old
+        assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(grads.flat[at], rel=0.02, abs=1e-2)
+
+    units, first, weight = rng.integers(0, model.units + len(layout.group), (5, 3)), np.zeros((5, 3), bool), np.full(15, 1 / 15, np.float32)
+    units[1:4] = model.units + rng.integers(0, len(layout.group), (3, 3))
+
+    def loss():
+        found, _ = model.run(np.zeros((3, gru.STATE), np.float32), units, first)
+        return -float(model.log_probabilities(found.reshape(-1, gru.STATE), units.ravel()).astype(np.float64).mean())
+
+    kept, parts = {}, gru.Gru.views(np.zeros_like(model.flat), model.units, model.classes)
+    found, _ = model.run(np.zeros((3, gru.STATE), np.float32), units, first, kept)
+    _, d = model.log_probabilities(found.reshape(-1, gru.STATE), units.ravel(), parts, weight)
+    d_inputs = model.back(kept, found, units, first, d.reshape(found.shape), parts)
+    for t, s in ((1, 0), (2, 1), (3, 2)):
+        word = units[t, s] - model.units
+        same = units == units[t, s]
+        k = int(abs(d_inputs[same].sum(0)).argmax())
+        old, ends = model.vin[word, k], []
+        for by in (2e-2, -2e-2):
+            model.vin[word, k] = old + by
+            ends.append(loss())
+        model.vin[word, k] = old
+        assert (ends[0] - ends[1]) / 4e-2 == pytest.approx(float(d_inputs[same].sum(0)[k]), rel=0.1, abs=2e-4)
+
+
+def test_less_frequent_words_follow_their_context(spark):
+    """Words outside the most frequent ones that end alike are told apart: they score lower beside frequent words of the other topic."""
+    pick = random.Random(12)
+
+    def text(often, seldom):
+        return " ".join(f"w{often}{pick.randrange(75)}" if pick.random() < 0.5 else f"{seldom}{pick.randrange(150)}en" for _ in range(80))
+
+    held = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learnt = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = [(i, text("pq"[i % 2], "pq"[i % 2])) for i in [*learnt[:1200], *held[:150]]] + [(i, text("pq"[i % 2], "qp"[i % 2])) for i in held[150:300]]
+    got = {r.doc_id: r for r in gru.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).select(F.col("id").alias("doc_id"), "score", "n_tokens").collect()}
+    same, crossed = (sum(got[i].score for i in part) / sum(got[i].n_tokens for i in part) for part in (held[:150], held[150:300]))
+    assert same - crossed > 0.05
+
+
 def plain_posteriors(model, rows):
     """Posteriors of rows (text, tag, host), each with its own share taken out of all counts."""
     k = len(model.languages)
