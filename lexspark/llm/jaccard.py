@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import components, may_match, written
+from lexspark.llm.common import components, lean, may_match, written
 
 #: Counters of the sketch that orders shingles, and how many travel in one row. It sets the order only, never the result.
 SKETCH, CHUNK = 1 << 21, 1 << 14
@@ -117,7 +117,7 @@ def _scan(words: int):
             none = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    return run
+    return lean(run)
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _prefixes(words: int, percent: int, sketch):
                     cols = [np.concatenate(c) for c in zip(*out)]
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *(pa.array(c.astype(np.int64)) for c in cols[1:])], ["shingle", "n", "node", "pos"])
 
-    return run
+    return lean(run)
 
 
 def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -189,7 +189,7 @@ def _chain(percent: int):
                     [*(pa.array(c[keep]) for c in (sh, n, node, pos)), pa.array(before[keep], mask=~near[keep])], ["shingle", "n", "node", "pos", "before"]
                 )
 
-    return run
+    return lean(run)
 
 
 def _across(percent: int, one: bool = False):
@@ -235,7 +235,7 @@ def _across(percent: int, one: bool = False):
                     yield flush()
         yield flush()
 
-    return run
+    return lean(run)
 
 
 def _verify(words: int, percent: int):
@@ -270,7 +270,7 @@ def _verify(words: int, percent: int):
                         linked.append(100 * overlap >= percent * union)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
-    return run
+    return lean(run)
 
 
 def _differences(words: int):
@@ -296,7 +296,7 @@ def _differences(words: int):
                 cols = list(zip(*out)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[4:])], names)
 
-    return run
+    return lean(run)
 
 
 class _Lists:
@@ -387,7 +387,7 @@ def _count_within(percent: int):
         if len(rows) > 1:
             yield found()
 
-    return run
+    return lean(run)
 
 
 def _compared(met: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -446,7 +446,7 @@ def jaccard_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     scan = written(docs.mapInArrow(_scan(words), "id long, h long, n long, node long, chunk long, counts binary"), "sets")
     nodes = scan.where("chunk is null").select("id", "h", "n", "node")
 
-    parts = scan.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_sketches, "chunk long, counts binary").collect()
+    parts = scan.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(lean(_add_sketches), "chunk long, counts binary").collect()
     sketch = np.zeros((SKETCH // CHUNK, CHUNK), np.uint32)
     for r in parts:
         sketch[r["chunk"]] = np.frombuffer(bytes(r["counts"]), "<u4")

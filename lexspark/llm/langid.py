@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import written
+from lexspark.llm.common import lean, written
 
 CELLS = 1 << 16
 #: The name of text in no language of the model.
@@ -115,7 +115,7 @@ def with_text_scores(df: DataFrame, text: str, model: LanguageModel, keep: bool
                     [*(part.schema.names[i] for i in rest), "n_grams", "scores"],
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _softmax(scores: Column) -> Column:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import marked, may_match, written
+from lexspark.llm.common import lean, marked, may_match, written
 
 GRAM = 64
 #: Window starts handled at once; places within a piece must fit in PLACE_BITS.
@@ -213,7 +213,7 @@ def _find_regions(span: int):
             if rows:
                 yield sent(rows)
 
-    return run
+    return lean(run)
 
 
 def _hash(raw: bytes) -> int:
@@ -239,7 +239,7 @@ def _cells(span: int, width: int):
                 cols = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    return run
+    return lean(run)
 
 
 def _split_groups(texts: DataFrame, span: int) -> DataFrame:
@@ -295,7 +295,7 @@ def _index_groups(span: int):
                 size += len(row[2])
         yield found(waiting)
 
-    return run
+    return lean(run)
 
 
 def _window_runs(once: DataFrame, texts: DataFrame, span: int) -> DataFrame:
@@ -360,7 +360,7 @@ def _stretches(short: int, span: int):
                 cols = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc", "at", "piece", "b"])
 
-    return run
+    return lean(run)
 
 
 def _per_doc(runs: DataFrame, name: str) -> DataFrame:
@@ -417,7 +417,7 @@ def _remove(carry: list[str], as_text: bool, span: int, words: int, short: int |
                 passages = [enough(raw, _covered(r, short), short_words) for raw, r in zip(texts, part.column("short_runs").to_pylist())] if short else [[]] * len(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), column, listed(spans), listed(passages)], [*carry, "kept", "spans", "passages"])
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(

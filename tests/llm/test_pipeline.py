@@ -1,6 +1,7 @@
 """The pipeline's stages: each on its predecessor's rows, against plain versions."""
 
 import os
+import subprocess
 import sys
 
 import numpy as np
@@ -54,3 +55,37 @@ def test_one_query_per_operator():
     names = list(catalog.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(catalog.oracle_sql()) <= set(names)
+
+
+KEPT = """
+import ctypes, random, re
+import pyarrow as pa
+from lexspark.llm import jaccard, repeats
+
+def own():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches(kind, names):
+    pick = random.Random(3)
+    vocabulary = ["".join(pick.choices("abcdefgh", k=6)) for _ in range(20000)]
+    for at in range(2):
+        texts = [" ".join(pick.choices(vocabulary, k=1000)) for _ in range(2500)]
+        ids = pa.array(range(at * 2500, at * 2500 + 2500), pa.int64())
+        yield pa.RecordBatch.from_arrays([*[ids] * (len(names) - 1), pa.array(texts, pa.string()).cast(kind)], names)
+
+for task, kind, names in ((jaccard._scan(5), pa.string(), ["id", "h", "t"]), (repeats._find_regions(200), pa.binary(), ["doc", "b"])):
+    for _ in task(batches(kind, names)):
+        pass
+    del _
+    kept = own()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    print(kept - own())
+"""
+
+
+def test_tasks_give_memory_back():
+    """A worker that has ended a task holds no freed memory over into the next stage."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", KEPT], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True, timeout=120)
+    assert all(float(kept) < 25 for kept in said.stdout.split()), said.stdout
