@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -232,6 +233,54 @@ def test_gradients_of_word_vectors_by_differences():
         assert (ends[0] - ends[1]) / 4e-2 == pytest.approx(float(d_inputs[same].sum(0)[k]), rel=0.1, abs=2e-4)
 
 
+def test_words_are_split_as_plain_ones(monkeypatch):
+    pick = random.Random(3)
+    some = [" ", "\t", "\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u3000", "A", "z", "É", "漢", "\x00", "wordEN", "x"]
+    texts = [None, "", "  ", *("".join(pick.choice(some) for _ in range(pick.randrange(15))) for _ in range(800)), None]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    monkeypatch.setattr(gru, "PIECE", 200)
+    column, got = pa.array(["not read", *texts]).slice(1), []
+    cuts = list(gru.pieces(column))
+    assert len(cuts) > 10 and [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(texts)
+    for a, b in cuts:
+        words, n = gru.split_words(column.slice(a, b - a))
+        found = iter(words.to_pylist())
+        got += [[next(found).encode() for _ in range(k)] for k in n]
+        assert next(found, None) is None
+        assert gru.ending_units(words).tolist() == [gru.SINGLE + zlib.crc32(w[-2:]) % gru.ENDINGS for t in plain[a:b] for w in t]
+    assert got == plain
+    counted = Counter()
+    for batch in gru._count_words(iter([pa.RecordBatch.from_arrays([column], ["t"])])):
+        counted.update(dict(zip(batch.column("word").to_pylist(), batch.column("c").to_pylist())))
+    assert counted == Counter(w.decode() for t in plain for w in t)
+
+
+def test_neighbouring_groups_are_worked_on_together():
+    """Far fewer steps than groups, with the results of one group at a time; a group with most of the tokens is alone."""
+    model, layout = grouped_model(40_000)
+    rng = np.random.default_rng(8)
+    words = np.sort(np.concatenate([rng.integers(0, len(layout.group), 9000), rng.integers(4000, 4010, 3000), rng.integers(len(layout.group) - 200, len(layout.group), 900)]))
+    states = rng.normal(0, 0.5, size=(len(words), gru.STATE)).astype(np.float32)
+    tilts, grads, steps = np.zeros(len(words)), np.zeros(model.vout.shape), 0
+    groups = np.unique(layout.group[words])
+    for g in groups:
+        own, at = np.flatnonzero(layout.group == g), np.flatnonzero(layout.group[words] == g)
+        e = np.exp(states[at].astype(float) @ model.vout[own].T.astype(float))
+        e /= (e * layout.share[own]).sum(1, keepdims=True)
+        tilts[at] = np.log(e[np.arange(len(at)), words[at] - own[0]])
+        every = gru.EXPECTED if len(own) > gru.LARGE and len(at) > gru.LARGE else 1
+        grads[own] += layout.share[own][:, None] * (e[::every].T @ states[at][::every]) * len(at) / len(at[::every])
+        np.subtract.at(grads, words[at], states[at])
+    found = np.zeros(model.vout.shape)
+    for low, high, g in model.word_gradients(states, words):
+        found[low:high] += g
+        steps += 1
+    assert steps < len(groups) / 4
+    assert np.allclose(model.tilts(states, words), tilts, atol=1e-4) and np.allclose(found, grads, atol=1e-3)
+    at = np.flatnonzero(np.diff(words, prepend=-1))
+    assert np.allclose(gru.segment_sums(states, at), np.add.reduceat(states, at, axis=0), atol=1e-4)
+
+
 def test_less_frequent_words_follow_their_context(spark):
     """Words outside the most frequent ones that end alike are told apart: they score lower beside frequent words of the other topic."""
     pick = random.Random(12)
