@@ -279,6 +279,8 @@ def test_neighbouring_groups_are_worked_on_together():
     assert np.allclose(model.tilts(states, words), tilts, atol=1e-4) and np.allclose(found, grads, atol=1e-3)
     at = np.flatnonzero(np.diff(words, prepend=-1))
     assert np.allclose(gru.segment_sums(states, at), np.add.reduceat(states, at, axis=0), atol=1e-4)
+    shuffled = rng.permutation(np.concatenate([words, words + (1 << 16)]))
+    assert gru.rising(shuffled).tolist() == np.argsort(shuffled, kind="stable").tolist()
 
 
 def test_less_frequent_words_follow_their_context(spark):
