@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm.bpe import PATTERN, Codec, load_vocabulary
+from lexspark.llm.common import lean
 
 #: A text with longer runs of one kind of character goes to the codec whose cost stays near linear.
 LONG_RUN = 2_000
@@ -173,7 +174,7 @@ def pack_examples(
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("id"), (F.col(prompt_col) if prompt_col else F.lit(None)).cast("string").alias("p"), F.col(text_col).cast("string").alias("t"))
-    return picked.mapInArrow(run, f"id {kind}, {SCHEMA}")
+    return picked.mapInArrow(lean(run), f"id {kind}, {SCHEMA}")
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

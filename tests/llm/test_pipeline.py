@@ -5,13 +5,14 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 import corpus_pipeline
 
 from lexspark.llm import catalog
-from lexspark.llm.common import written
+from lexspark.llm.common import ARROW_CONF, written
 
 
 def test_stages_in_order(spark, sf_dir):
@@ -89,3 +90,41 @@ def test_tasks_give_memory_back():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     said = subprocess.run([sys.executable, "-c", KEPT], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True, timeout=120)
     assert all(float(kept) < 25 for kept in said.stdout.split()), said.stdout
+
+
+def test_python_gets_small_batches(spark, sf_dir):
+    """No stage hands a worker 64 MB at once, Spark's own bound; a session's own bound stays."""
+    before = spark.conf.get(ARROW_CONF, None)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    try:
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.packing):
+            spark.conf.unset(ARROW_CONF)
+            stage(spark, docs, sf_dir)
+            found = spark.range(0, 9000, 1, 1).selectExpr("repeat('abcdefgh', 256) AS t").mapInArrow(sizes, "n long").collect()
+            assert sum(r.n for r in found) == 9000 and max(r.n for r in found) * 2048 <= 5 << 20
+        spark.conf.set(ARROW_CONF, "32m")
+        corpus_pipeline.packing(spark, docs, sf_dir)
+        assert spark.conf.get(ARROW_CONF) == "32m"
+    finally:
+        spark.conf.unset(ARROW_CONF) if before is None else spark.conf.set(ARROW_CONF, before)
+
+
+def test_packing_gives_memory_back(spark, sf_dir, monkeypatch):
+    """The function that packing hands to Spark ends by giving back what it freed."""
+    from lexspark.llm import common, packing
+
+    handed, given = [], []
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, schema: handed.append(run) or self.sparkSession.createDataFrame([], schema))
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    packing.packed_documents(docs)
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1], pa.int64()), "p": pa.array([None], pa.string()), "t": ["a b"]})
+    out = list(handed[0](iter([batch])))
+    assert sum(b.num_rows for b in out) >= 1 and given == [1]
