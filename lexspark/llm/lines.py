@@ -65,12 +65,15 @@ def _deletion_keys(line: Column) -> Column:
 
 
 def _content_keys(content: Column, wider: Column) -> Column:
-    """Second-level keys of a block's content: (kind, place, rest). Kind 0: equal lengths, kind 1: one longer."""
+    """Second-level keys of a block's content: (kind, place, hash of the rest). Kind 0: equal lengths, kind 1: one longer.
+
+    Only hashes are kept: the rests themselves would hold the square of the content's length.
+    """
     places = F.sequence(F.lit(1), F.greatest(F.length(content), F.lit(1)))
-    without = lambda p: F.concat(F.substr(content, F.lit(1), p - 1), F.substr(content, p + 1, F.length(content)))
+    without = lambda p: F.xxhash64(F.concat(F.substr(content, F.lit(1), p - 1), F.substr(content, p + 1, F.length(content))))
     entry = lambda kind, place, rest: F.struct(F.lit(kind).alias("kind"), place.alias("place"), rest.alias("rest"))
     longer = F.transform(places, lambda p: entry(1, F.lit(0), without(p)))
-    same = F.concat(F.transform(places, lambda p: entry(0, p, without(p))), F.array(entry(1, F.lit(0), content)))
+    same = F.concat(F.transform(places, lambda p: entry(0, p, without(p))), F.array(entry(1, F.lit(0), F.xxhash64(content))))
     return F.array_distinct(F.when(wider == 1, longer).otherwise(same))
 
 

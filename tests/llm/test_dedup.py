@@ -162,6 +162,17 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in lines.dedup_lines(df).collect()) == [(0, ""), (1, line), (1, line), (2, "end")]
 
 
+def test_contents_of_long_lines_are_hashes(spark):
+    """The second level holds a number for each place, not the rest of the content: that would be the square of its length."""
+    keys = spark.range(1).select(F.explode(lines._content_keys(F.repeat(F.lit("abcdefgh"), 512), F.lit(0))).alias("c")).select("c.*")
+    assert dict(keys.dtypes)["rest"] == "bigint" and keys.count() == 2 * 4096 // 2 + 1
+    pick = random.Random(5)
+    long = "".join(pick.choices("abcdefgh ij", k=50_000))
+    rows = [(1, long), (2, long[:30_000] + "Z" + long[30_000:]), (3, long[:20_001] + long[20_002:]), (4, long[:7] + "Y" + long[8:]), (5, "Y" + long + "Y")]
+    found = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: long, 2: "", 3: "", 4: "", 5: rows[4][1]}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_run_index_statistics(seed):
     pick = random.Random(seed)
