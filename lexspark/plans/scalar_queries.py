@@ -92,7 +92,7 @@ def _knn_per_probe(spark: SparkSession, sf: str) -> DataFrame:
     """For each supplier, the three customers of its nation nearest in balance."""
     s = _table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
     c = _table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
-    near = search.nearest_per_probe(s, c, ["nation"], distance.dist(F.col("c_acctbal"), F.col("s_acctbal")), "s_suppkey", "c_custkey", 3)
+    near = search.nearest_per_probe(s, c, ["nation"], distance.dist(F.col("c_acctbal"), F.col("s_acctbal")), "s_suppkey", "c_custkey", 3, values=("s_acctbal", "c_acctbal"))
     return near.select("s_suppkey", "c_custkey", F.round("distance", 4).alias("distance"), "rank")
 
 

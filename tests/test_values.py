@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexspark.functions import arrays, distance, scalar
+from lexspark.operators import search
 
 INF = float("inf")
 
@@ -116,3 +117,25 @@ def test_sort_keys(spark):
     assert [r.n for r in df.collect()] == ["0.0.0.0/0", "1.2.0.0/16", "1.2.3.0/24", "1.2.3.4/32", "1.3.0.0/16"]
     df = spark.createDataFrame([(0, 29, 0), (1, 0, 0), (0, 30, 1), (0, 0, 10**6)], "m int, d int, u long")
     assert [tuple(r) for r in df.orderBy(scalar.interval_key(F.col("m"), F.col("d"), F.col("u"))).collect()] == [(0, 0, 10**6), (0, 29, 0), (1, 0, 0), (0, 30, 1)]
+
+
+def test_nearest_per_probe_by_neighbours(spark):
+    """The same rows as meeting all rows of a key: ties, equal values, missing and endless ones, values that rounding makes equally far."""
+    import random
+
+    pick = random.Random(3)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e-20, 2e-20, 3e-20, 4e-20, 5e-20, 1e308, -1.7e308]
+    value = lambda: pick.choice(odd) if pick.random() < 0.3 else float(pick.randrange(40))
+    group = lambda: pick.choice([None, 1, 2, 2, 3, 3, 3])
+    probes = spark.createDataFrame([(i, group(), value()) for i in range(120)], "p long, g int, a double")
+    rows = spark.createDataFrame([(i, group(), value()) for i in range(400)] + [(1000, 4, 1.0)], "r long, g int, b double")
+    near = lambda k, **x: sorted(map(str, search.nearest_per_probe(probes, rows, ["g"], distance.dist(F.col("b"), F.col("a")), "p", "r", k, **x).collect()))
+    for k in (1, 3, 30):
+        assert near(k, values=("a", "b")) == near(k)
+
+
+def test_probes_meet_neighbours_only(spark):
+    """The number of pairs is bounded by the probes, however many rows a key has."""
+    probes = spark.range(50).selectExpr("id AS p", "1 AS g", "id * 1.5D AS a")
+    rows = spark.range(5000).selectExpr("id AS r", "1 AS g", "CAST(id % 700 AS DOUBLE) AS b")
+    assert search._neighbours(probes, rows, ["g"], ("a", "b"), "r", 3).count() <= 50 * 8 * 3
