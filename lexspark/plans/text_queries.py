@@ -124,12 +124,12 @@ def _weighted(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Lexemes with their number of positions, from vectors."""
-    d = documents(spark, sf).select("doc_id", analyze.vector_of_tokens(F.col("t")).alias("v")).select("doc_id", F.explode("v").alias("x"))
+    d = documents(spark, sf).select("doc_id", analyze.table_vectors(F.col("t")).alias("v")).select("doc_id", F.explode("v").alias("x"))
     return d.groupBy(F.col("x.lexeme").alias("lexeme")).agg(F.count("*").alias("n_docs"), F.sum(F.size("x.pos")).alias("n_positions"))
 
 
 def _documents_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", analyze.to_tsvector("text").alias("v"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", analyze.table_vectors(analyze.tokens("text")).alias("v"))
 
 
 def _own_index(spark: SparkSession, sf: str, name: str = "tsvector", rows=None, **options) -> postings.PostingIndex:
@@ -282,7 +282,7 @@ def _attach_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def _multicol(spark: SparkSession, sf: str) -> DataFrame:
     """An index over several columns: equality on one, match on another, left distance on a third."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.col("n_chars"), analyze.to_tsvector("text").alias("v"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.col("n_chars"), analyze.table_vectors(analyze.tokens("text")).alias("v"))
     index = postings.build_index(docs, new_folder(spark, "index"), {"source": "text", "n_chars": "int8", "v": "tsvector"}, buckets=8)
     out = index.search({"v": "the"}, filters=F.col("source") == "src1", order_by=[("<=|", "n_chars", 2000)], limit=20)
     return out.select("doc_id", F.when(F.col("distance") == float("inf"), -1.0).otherwise(F.col("distance")).alias("distance"))

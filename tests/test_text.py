@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,16 @@ def test_stored_queries_from_a_table(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan
     assert inverse.percolate(docs, stored.limit(0), F.col("words")).count() == 0
+
+
+def test_table_vectors_equal_vectors(spark, monkeypatch):
+    """Vectors in batches are those of the column, for missing, empty and long texts, in pieces of any size."""
+    texts = [None, "", " .. ", "b a b", "Der der DER é z ab a", "a b a " * 6000 + "zz a", "x " * 17000, None, "one"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    for size in (1, 5, 1 << 18):
+        df2 = df.select(analyze.to_tsvector("text").alias("a"), analyze.table_vectors(analyze.tokens("text")).alias("b"))
+        assert df2.where("NOT a <=> b").count() == 0
+        words = pa.array([None if t is None else t.split() for t in texts], pa.list_(pa.string()))
+        monkeypatch.setattr(analyze, "PIECE_TOKENS", size)
+        assert analyze._vector_batch(words).to_pylist() == analyze._vectors(words).to_pylist()
+    assert analyze._vector_batch(words.slice(3, 2)).to_pylist() == analyze._vectors(words).to_pylist()[3:5] and len(analyze._vector_batch(words.slice(0, 0))) == 0
