@@ -19,6 +19,7 @@ without an index, so both give the same rows.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -125,6 +126,17 @@ def _batch(spark: SparkSession, path: str, o: Options) -> int:
     return 1 + max((int(n[6:]) for n in _names(spark, f"{path}/{o.generation}/docs") if n.startswith("batch=")), default=-1)
 
 
+#: MB of stored rows from which one posting file is made: a task's sort holds about 20 times as much.
+FILE_MB = 16
+
+
+def _salts(spark: SparkSession, stored: str, o: Options) -> int:
+    """Into how many files each bucket goes: up to 4 while these are small, and then as many as keep their size."""
+    jvm, fs = _files(spark, stored)
+    mb = fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(stored)).getLength() / 1e6 / o.buckets
+    return max(1, min(4, math.ceil(mb)), math.ceil(mb / FILE_MB))
+
+
 def _write(df: DataFrame, path: str, o: Options) -> None:
     """Writes the rows first, so that what their columns cost is paid once, and posting rows from what was written."""
     spark, number = df.sparkSession, _batch(df.sparkSession, path, o)
@@ -133,8 +145,10 @@ def _write(df: DataFrame, path: str, o: Options) -> None:
     stored = f"{path}/{o.generation}/docs/batch={number}"
     rows.write.parquet(stored)
     sort = ["term", "attached", "key"] if o.order_by_attach else ["term", "key"]
-    # few files per bucket, and a hot term is still split: salted by a hash of the row key
-    salted = _posting_rows(spark.read.schema(rows.schema).parquet(stored), o).repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(4)))
+    # few files per bucket, and a hot term is still split: salted by a hash of the row key. A task has one bucket's share
+    salts = _salts(spark, stored, o)
+    part = (F.col("bucket") * salts + F.pmod(F.xxhash64("key"), F.lit(salts))).cast("int")
+    salted = _posting_rows(spark.read.schema(rows.schema).parquet(stored), o).repartitionById(o.buckets * salts, part)
     salted.sortWithinPartitions("bucket", "col", *sort).write.partitionBy("bucket").parquet(f"{path}/{o.generation}/postings/batch={number}")
 
 

@@ -147,3 +147,13 @@ def test_top_rows_and_fuzzy_limit(spark):
     assert 0 < search.fuzzy_limit(df, 20, seed=1).count() < 60
     plan = search.ordered(df, [F.col("doc_id")], "doc_id", 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_posting_files_keep_their_size(table, tmp_path, monkeypatch):
+    """A bucket is cut into more files as the rows grow; every file is of one bucket."""
+    path = f"file://{tmp_path}/s"
+    monkeypatch.setattr(postings, "FILE_MB", 1e-4)
+    index = postings.build_index(table, path, {"v": "tsvector"}, buckets=2)
+    files = index._rows().select(F.input_file_name().alias("f"), "bucket").distinct().collect()
+    assert len(files) == len({r.f for r in files}) and all(sum(r.bucket == b for r in files) > 4 for b in (0, 1))
+    assert {r.doc_id for r in index.search({"v": "one <-> two"}).collect()} == {r.doc_id for r in table.where(match.matches("v", "one <-> two")).collect()}
