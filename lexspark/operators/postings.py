@@ -401,18 +401,20 @@ class PostingIndex:
 
     def stats(self) -> DataFrame:
         """One row: version, rows, postings, distinct terms, placeholder rows, deleted rows, files."""
-        p = self.postings()
-        terms_ = F.countDistinct(F.when(F.col("category") == NORM_KEY, F.struct("col", "term")))
+        # one row per term first: a count of distinct terms beside other sums would keep all posting rows' keys apart
+        p = self.postings().groupBy("col", "term", "category").agg(F.count("*").alias("n"))
+        rows = self.docs().agg(F.countDistinct(F.col(f"`{self.options.key}`")).alias("n_rows"))
+        here = F.col("category") == NORM_KEY
         gone = self._deleted()
         files = len(self._rows().inputFiles())
-        return p.agg(
-            F.lit(self.options.version).alias("version"), F.countDistinct("key").alias("n_rows"), F.sum((F.col("category") == NORM_KEY).cast("long")).alias("n_postings"), terms_.alias("n_terms"),
-            F.sum((F.col("category") != NORM_KEY).cast("long")).alias("n_placeholders"), F.lit(gone.count() if gone is not None else 0).cast("long").alias("n_deleted"), F.lit(files).cast("long").alias("n_files"),
-        )
+        p = p.agg(F.sum(F.when(here, F.col("n")).otherwise(0)).alias("n_postings"), F.count_if(here).alias("n_terms"), F.sum(F.when(~here, F.col("n")).otherwise(0)).alias("n_placeholders"))
+        n_deleted, n_files = F.lit(gone.count() if gone is not None else 0).cast("long").alias("n_deleted"), F.lit(files).cast("long").alias("n_files")
+        return rows.crossJoin(p).select(F.lit(self.options.version).alias("version"), "n_rows", "n_postings", "n_terms", "n_placeholders", n_deleted, n_files)
 
     def partitions(self) -> DataFrame:
         """Per bucket: postings, distinct terms, first and last term."""
-        return self.postings().groupBy("bucket").agg(F.count("*").alias("n_postings"), F.countDistinct("term").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+        terms_ = self.postings().groupBy("bucket", "term").agg(F.count("*").alias("n"))
+        return terms_.groupBy("bucket").agg(F.sum("n").alias("n_postings"), F.count("term").alias("n_terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
     def entries(self) -> DataFrame:
         """Per (column, term, category): rows, and the first row key."""

@@ -157,3 +157,12 @@ def test_posting_files_keep_their_size(table, tmp_path, monkeypatch):
     files = index._rows().select(F.input_file_name().alias("f"), "bucket").distinct().collect()
     assert len(files) == len({r.f for r in files}) and all(sum(r.bucket == b for r in files) > 4 for b in (0, 1))
     assert {r.doc_id for r in index.search({"v": "one <-> two"}).collect()} == {r.doc_id for r in table.where(match.matches("v", "one <-> two")).collect()}
+
+
+def test_inspection_sums_up_terms_first(table, index):
+    """Posting rows meet a hash aggregate by term; nothing sorts them or keeps every row's key apart."""
+    plan = index.partitions()._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") > plan.rindex("SortAggregate")
+    assert "Expand" not in index.stats()._jdf.queryExecution().executedPlan().toString()
+    plain = index.postings().groupBy("bucket").agg(F.count("*"), F.countDistinct("term"), F.min("term"), F.max("term")).collect()
+    assert sorted(index.partitions().collect()) == sorted(plain)
