@@ -132,9 +132,9 @@ def _documents_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars", analyze.table_vectors(analyze.tokens("text")).alias("v"))
 
 
-def _own_index(spark: SparkSession, sf: str, name: str = "tsvector", rows=None, **options) -> postings.PostingIndex:
+def _own_index(spark: SparkSession, sf: str, name: str = "tsvector", rows=None, docs=None, **options) -> postings.PostingIndex:
     """A fresh index, for queries that change it."""
-    docs = _documents_with_vectors(spark, sf)
+    docs = _documents_with_vectors(spark, sf) if docs is None else docs
     docs = docs if rows is None else docs.where(rows)
     return postings.build_index(docs, new_folder(spark, "index"), {"v": name}, buckets=8, **options)
 
@@ -145,9 +145,13 @@ _INDEXES: dict[tuple, str] = {}
 
 def _index(spark: SparkSession, sf: str, name: str = "tsvector", **options) -> postings.PostingIndex:
     """The session's index of a folder, built by the first query that needs it; queries leave it as it is."""
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf, name, tuple(sorted(options.items())))
+    table = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf)
+    key = (*table, name, tuple(sorted(options.items())))
     if key not in _INDEXES:
-        _INDEXES[key] = _own_index(spark, sf, name, **options).path
+        # another index of the same table that keeps both columns has their vectors already
+        other = next((path for k, path in _INDEXES.items() if k[:3] == table and ("attach", "n_chars") in k[4]), None)
+        docs = postings.PostingIndex(spark, other).docs() if other and ("attach", "n_chars") in key[4] else None
+        _INDEXES[key] = _own_index(spark, sf, name, docs=docs, **options).path
     return postings.PostingIndex(spark, _INDEXES[key])
 
 

@@ -175,3 +175,15 @@ def test_inspection_sums_up_terms_first(table, index):
     assert "Expand" not in index.stats()._jdf.queryExecution().executedPlan().toString()
     plain = index.postings().groupBy("bucket").agg(F.count("*"), F.countDistinct("term"), F.min("term"), F.max("term")).collect()
     assert sorted(index.partitions().collect()) == sorted(plain)
+
+
+def test_vectors_are_computed_once(spark, sf_dir, monkeypatch):
+    """Changes of an index, and a second index of the same rows, take vectors from what is stored."""
+    from lexspark.plans import text_queries
+
+    calls, plain = [], text_queries._documents_with_vectors
+    monkeypatch.setattr(text_queries, "_documents_with_vectors", lambda *a: calls.append(a) or plain(*a))
+    monkeypatch.setattr(text_queries, "_INDEXES", {})
+    for query in (text_queries._update, text_queries._items):
+        calls.clear()
+        assert query(spark, sf_dir).count() and len(calls) == 1
