@@ -160,4 +160,5 @@ def token_matches(tokens: Column | str, query: str | Node | None) -> Column:
     """The same for a column of token arrays in document order."""
     if query is None:
         return F.lit(None).cast("boolean")
-    return compile_match(query, TokenSource(F.col(tokens) if isinstance(tokens, str) else tokens))
+    # a filter on computed tokens computes them where it mentions them: here once
+    return let(F.col(tokens) if isinstance(tokens, str) else tokens, lambda t: compile_match(query, TokenSource(t)))

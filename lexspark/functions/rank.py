@@ -12,10 +12,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
 
 from lexspark.functions.analyze import vector_length
 from lexspark.functions.match import VectorSource
@@ -45,14 +45,6 @@ class DistanceQuery:
         return self.method or 0
 
 
-@dataclass
-class _Entry:
-    pos: int
-    weight: int
-    lexeme: str
-    items: tuple[int, ...]
-
-
 def _holds(node: Node, seen: dict[int, int], numbers: dict[int, int], with_not: bool) -> bool:
     """The query over seen operands; each is at its latest position. Without ``with_not``, negations are true."""
     match node:
@@ -103,59 +95,82 @@ class Ranker:
         self.node, self.method = as_tree(query), method
         self.operands = list(terms(self.node)) if self.node is not None else []
         self.numbers = {id(t): i for i, t in enumerate(self.operands)}
-
-    def _entries(self, vector: list[tuple[str, list[int] | None]]) -> list[_Entry]:
-        by_name = dict(vector)
-        out, done = [], set()
-        for term in self.operands:
-            if term.lexeme in done:
-                continue
-            done.add(term.lexeme)
-            items = tuple(i for i, t in enumerate(self.operands) if t.lexeme == term.lexeme)
-            prefix = term.prefix
-            found = [(w, p) for w, p in vector if w.startswith(term.lexeme)] if prefix else [(term.lexeme, by_name[term.lexeme])] if term.lexeme in by_name else []
-            for lexeme, packed in found:
-                out += [_Entry(p & MAX_POSITION, p >> 14, lexeme, items) for p in packed or ()]
-        out.sort(key=lambda e: e.pos)
-        return [e for e in out if e.pos > 0]
-
-    def _covers(self, entries: list[_Entry]):
-        at = 0
-        while at < len(entries):
-            seen: dict[int, int] = {}
-            end = None
-            for i in range(at, len(entries)):
-                seen.update((k, entries[i].pos) for k in entries[i].items)
-                if _holds(self.node, seen, self.numbers, False):
+        #: The operands of different words in order, each with all that ask for its word.
+        words: dict[str, Term] = {}
+        for t in self.operands:
+            words.setdefault(t.lexeme, t)
+        self.asked = [(t, tuple(i for i, x in enumerate(self.operands) if x.lexeme == w)) for w, t in words.items()]
+        self.ends, self.begins = self._test(False), self._test(True)
+
+    def _test(self, with_not: bool):
+        """``_holds`` as one Python expression over the latest position of each operand (0: not seen)."""
+        hard: list[Node] = []
+
+        def text(node: Node) -> str:
+            match node:
+                case Term():
+                    return f"s[{self.numbers[id(node)]}]"
+                case Not(child):
+                    return f"(not {text(child)})" if with_not else "True"
+                case And(left, right):
+                    return f"({text(left)} and {text(right)})"
+                case Or(left, right):
+                    return f"({text(left)} or {text(right)})"
+                case Phrase(Term() as left, Term() as right, distance):
+                    a, b = text(left), text(right)
+                    return f"({a} and {b} and {a} + {distance} == {b})"
+                case Phrase():
+                    hard.append(node)
+                    return f"hold({len(hard) - 1}, s)"
+
+        def plain(node: Node, s: list[int]) -> bool:
+            return _holds(node, {k: p for k, p in enumerate(s) if p}, self.numbers, with_not)
+
+        try:
+            return eval(f"lambda s: {text(self.node)}", {"hold": lambda k, s: plain(hard[k], s)})
+        except (SyntaxError, MemoryError, RecursionError):  # too deep for the compiler
+            return lambda s: plain(self.node, s)
+
+    def _found(self, lexeme: str) -> list[tuple[int, tuple[int, ...]]]:
+        """Which of ``asked`` a lexeme of a vector answers, with their operands."""
+        return [(k, items) for k, (t, items) in enumerate(self.asked) if (lexeme.startswith(t.lexeme) if t.prefix else lexeme == t.lexeme)]
+
+    def _covers(self, places: list[int], items: list[tuple[int, ...]]):
+        at, nothing, ends, begins = 0, [0] * len(self.operands), self.ends, self.begins
+        while at < len(places):
+            seen, end = nothing.copy(), -1
+            for i in range(at, len(places)):
+                for k in items[i]:
+                    seen[k] = places[i]
+                if ends(seen):
                     end = i
                     break
-            if end is None:
+            if end < 0:
                 return
-            seen, begin = {}, None
+            seen, begin = nothing.copy(), -1
             for i in range(end, at - 1, -1):
-                seen.update((k, entries[i].pos) for k in entries[i].items)
-                if _holds(self.node, seen, self.numbers, True):
+                for k in items[i]:
+                    seen[k] = places[i]
+                if begins(seen):
                     begin = i
                     break
-            if begin is None:
+            if begin < 0:
                 at += 1
             else:
                 yield begin, end
                 at = begin + 1
 
-    def score(self, vector: list[tuple[str, list[int] | None]]) -> float:
-        if self.node is None or not vector:
-            return 0.0
-        entries = self._entries(vector)
+    def _sums(self, places: list[int], lexemes: list, items: list[tuple[int, ...]], weights: list[int]) -> tuple[float, float, int]:
+        """The plain score, the sum of reciprocal gaps, and the number of covers, of entries in order of their places (over 0)."""
         total, seen_keys, gaps, previous, n_covers = 0.0, {}, 0.0, 0.0, 0
-        for begin, end in self._covers(entries):
-            part = entries[begin : end + 1]
-            weight = len(part) / sum(RECIPROCALS[e.weight] for e in part) * len({k for e in part for k in e.items})
-            first, last = part[0].pos, part[-1].pos
-            noise = (last - first) - (len(part) - 1)
+        for begin, end in self._covers(places, items):
+            n = end + 1 - begin
+            key = tuple(lexemes[begin : end + 1])
+            weight = n / sum([RECIPROCALS[w] for w in weights[begin : end + 1]]) * len(set().union(*items[begin : end + 1]))
+            first, last = places[begin], places[end]
+            noise = (last - first) - (n - 1)
             if noise < 0:
-                noise = (len(part) - 1) // 2  # whole places only
-            key = tuple(e.lexeme for e in part)
+                noise = (n - 1) // 2  # whole places only
             seen_keys[key] = k = seen_keys.get(key, 0) + 1
             total += weight / (1 + noise) / k**2 / DAMPING
             middle = (first + last) / 2
@@ -163,21 +178,61 @@ class Ranker:
                 gaps += 1 / (middle - previous)
             previous = middle
             n_covers += 1
-        if self.method & BY_COVER_GAPS and gaps > 0:
+        return total, gaps, n_covers
+
+    def _normalised(self, sums: tuple[float, float, int], length: int, unique: int, method: int) -> float:
+        total, gaps, n_covers = sums
+        if method & BY_COVER_GAPS and gaps > 0:
             total /= n_covers / gaps
-        if self.method & BY_SELF:
+        if method & BY_SELF:
             total /= total + 1
-        length = sum(max(1, len(p or ())) for _, p in vector)
-        if self.method & BY_LOG_LENGTH:
+        if method & BY_LOG_LENGTH:
             total /= math.log(length + 1)
-        if self.method & BY_LENGTH:
+        if method & BY_LENGTH:
             total /= length
-        if self.method & BY_UNIQUE:
-            total /= len(vector)
-        if self.method & BY_LOG_UNIQUE:
-            total /= math.log2(len(vector) + 1)
+        if method & BY_UNIQUE:
+            total /= unique
+        if method & BY_LOG_UNIQUE:
+            total /= math.log2(unique + 1)
         return total
 
+    def score(self, vector: list[tuple[str, list[int] | None]]) -> float:
+        if self.node is None or not vector:
+            return 0.0
+        found = [(p & MAX_POSITION, k, i, p >> 14, lexeme, items) for i, (lexeme, packed) in enumerate(vector) for k, items in self._found(lexeme) for p in packed or ()]
+        found = sorted((e for e in found if e[0] > 0), key=lambda e: e[:3])
+        sums = self._sums([e[0] for e in found], [e[4] for e in found], [e[5] for e in found], [e[3] for e in found])
+        return self._normalised(sums, sum(max(1, len(p or ())) for _, p in vector), len(vector), self.method)
+
+    def batch(self, vectors: pa.ListArray, methods: list[int]) -> list[list[float] | None]:
+        """The scores of a batch of vectors by each method; a vector's covers are sought once."""
+        ends = vectors.offsets.to_numpy().astype(np.int64)
+        flat = vectors.values.slice(ends[0], ends[-1] - ends[0])
+        ends = ends - ends[0]
+        coded, pos = flat.field("lexeme").dictionary_encode(), flat.field("pos")
+        sizes = pc.fill_null(pc.list_value_length(pos), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(vectors)), np.diff(ends))
+        packed, item = pos.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        length = np.bincount(row, np.maximum(sizes, 1), len(vectors)).astype(np.int64).tolist()
+        # an entry for each position of a lexeme and each operand that it answers
+        answers = [self._found(x) for x in coded.dictionary.to_pylist()]
+        parts = []
+        for k, (_, _items) in enumerate(self.asked):
+            hit = np.array([any(k == a for a, _ in x) for x in answers], bool)
+            at = np.flatnonzero(hit[codes[item]] & (packed & MAX_POSITION > 0)) if len(packed) else np.empty(0, np.int64)
+            parts.append(np.stack([row[item[at]], packed[at] & MAX_POSITION, np.full(len(at), k), item[at], packed[at] >> 14, codes[item[at]]]))
+        entries = np.concatenate(parts, axis=1)
+        entries = entries[:, np.lexsort(entries[3::-1])]
+        starts = np.searchsorted(entries[0], np.arange(len(vectors) + 1)).tolist()
+        places, kinds, weights, lexemes = (entries[i].tolist() for i in (1, 2, 4, 5))
+        items = [self.asked[k][1] for k in kinds]
+        out: list[list[float] | None] = []
+        for i, (n, missing) in enumerate(zip(np.diff(ends).tolist(), vectors.is_null().to_pylist())):
+            a, b = starts[i], starts[i + 1]
+            sums = self._sums(places[a:b], lexemes[a:b], items[a:b], weights[a:b]) if n else None
+            out.append(None if missing else [self._normalised(sums, length[i], n, m) if sums else 0.0 for m in methods])
+        return out
+
 
 def _hits(vector: Column, term: Term) -> Column:
     """Packed positions of an operand, by place."""
@@ -229,15 +284,19 @@ def _closed(vector: Column, node: Node | None) -> Column | None:
     return None
 
 
-def _general(vector: Column, node: Node, method: int) -> Column:
-    """The score by the general search, over batches; the query travels with the function."""
+def _general(vector: Column, node: Node, methods: list[int]) -> Column:
+    """The scores by the general search, over batches, one for each method; the query travels with the function."""
 
-    def run(vectors: pd.Series) -> pd.Series:
-        ranker = Ranker(node, method)
-        one = lambda v: None if v is None else ranker.score([(x["lexeme"], None if x["pos"] is None else list(x["pos"])) for x in v])
-        return pd.Series([one(v) for v in vectors], dtype=np.float32)
+    def run(vectors: pa.Array) -> pa.Array:
+        return pa.array(Ranker(node).batch(vectors, methods), pa.list_(pa.float32()))
 
-    return F.pandas_udf(run, FloatType())(vector)
+    return F.arrow_udf(run, "array<float>")(vector)
+
+
+def ts_scores(vector: Column | str, query: str | Node, methods: list[int]) -> Column:
+    """The rank by the general search for several masks at once, as an array."""
+    node = as_tree(query)
+    return _general(F.col(vector) if isinstance(vector, str) else vector, node, methods)
 
 
 def ts_score(vector: Column | str, query: str | Node | DistanceQuery | None, method: int = 0, general: bool = False) -> Column:
@@ -250,7 +309,7 @@ def ts_score(vector: Column | str, query: str | Node | DistanceQuery | None, met
     node = as_tree(query)
     score = None if general or method & BY_COVER_GAPS else _closed(v, node)
     if score is None:
-        return _general(v, node, method) if node is not None else F.when(v.isNotNull(), F.lit(0.0)).cast("float")
+        return _general(v, node, [method])[0] if node is not None else F.when(v.isNotNull(), F.lit(0.0)).cast("float")
     if method & BY_SELF:
         score = score / (score + 1)
     length, unique = vector_length(v).cast("double"), F.size(v).cast("double")

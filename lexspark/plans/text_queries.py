@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import analyze, distance, match, rank
+from lexspark.functions.types import MAX_POSITION, let
 from lexspark.operators import inverse, postings, search
 from lexspark.plans.workspace import new_folder
 
@@ -48,10 +49,15 @@ def _match(query: str):
 
 
 def mini_vector(tokens: Column, lexemes: list[str]) -> Column:
-    """The part of a token vector that names these lexemes, without building the rest."""
-    source = match.TokenSource(tokens)
-    parts = [F.struct(F.lit(w).alias("lexeme"), source.positions(match.Term(w)).alias("pos")) for w in sorted(lexemes)]
-    return F.filter(F.array(*parts), lambda x: F.size(x["pos"]) > 0)
+    """The part of a token vector that names these lexemes, without building the rest: one pass over the tokens."""
+    place = lambda w, i: F.when(w.isin(*lexemes), F.struct(w.alias("w"), F.least(i + 1, F.lit(MAX_POSITION)).alias("p")))
+    named = F.filter(F.transform(tokens, place), lambda x: x.isNotNull())
+
+    def parts(found: Column) -> Column:
+        of = lambda w: F.array_distinct(F.transform(F.filter(found, lambda x: x["w"] == w), lambda x: x["p"]))
+        return F.filter(F.array(*[F.struct(F.lit(w).alias("lexeme"), of(w).alias("pos")) for w in sorted(lexemes)]), lambda x: F.size(x["pos"]) > 0)
+
+    return let(named, parts)
 
 
 def _rounded(c: Column) -> Column:
@@ -92,7 +98,8 @@ def _rank_general(spark: SparkSession, sf: str) -> DataFrame:
     """Phrases and three words, by the general search over vectors of the query's words."""
     query = "(of <-> the) | (and & to & in)"
     d = documents(spark, sf).where(match.token_matches("t", query)).select("doc_id", mini_vector(F.col("t"), ["of", "the", "and", "to", "in"]).alias("v"))
-    return d.select("doc_id", _rounded(rank.ts_score("v", query)).alias("score"), _rounded(rank.ts_score("v", query, 4)).alias("score_by_gaps"))
+    d = d.select("doc_id", rank.ts_scores("v", query, [0, rank.BY_COVER_GAPS]).alias("s"))
+    return d.select("doc_id", _rounded(F.col("s")[0]).alias("score"), _rounded(F.col("s")[1]).alias("score_by_gaps"))
 
 
 def _rank_forms_agree(spark: SparkSession, sf: str) -> DataFrame:

@@ -212,3 +212,22 @@ def test_table_vectors_equal_vectors(spark, monkeypatch):
         monkeypatch.setattr(analyze, "PIECE_TOKENS", size)
         assert analyze._vector_batch(words).to_pylist() == analyze._vectors(words).to_pylist()
     assert analyze._vector_batch(words.slice(3, 2)).to_pylist() == analyze._vectors(words).to_pylist()[3:5] and len(analyze._vector_batch(words.slice(0, 0))) == 0
+
+
+def test_scores_in_batches(spark):
+    """Several masks from one search, as by the search of single vectors; words are looked for in one pass over tokens computed once."""
+    pick = random.Random(8)
+    rows = [(i, None if i == 7 else " ".join(pick.choice(["of", "the", "and", "to", "in", "x"]) for _ in range(pick.randrange(60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, text string").select("i", analyze.to_tsvector("text").alias("v"))
+    query = "(of <-> the) | (and & to & in:*) & !(x <-> x)"
+    for r in df.select("v", rank.ts_scores("v", query, [0, 4, 34]).alias("s")).collect():
+        expected = None if r.v is None else [pytest.approx(rank.Ranker(query, m).score([(x.lexeme, x.pos) for x in r.v]), rel=1e-6) for m in (0, 4, 34)]
+        assert r.s == expected
+
+
+def test_tokens_are_computed_once(spark, sf_dir):
+    from lexspark.plans import text_queries
+
+    for name in ("rank_general", "fts_nested"):
+        plan = text_queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= (2 if name == "rank_general" else 1)
