@@ -71,6 +71,16 @@ class TokenSource:
         return F.lit(False)
 
 
+class BitSource:
+    """Presence of operands as bits of a number; of queries that ask for no places."""
+
+    def __init__(self, bits: Column, operands: list[Term]):
+        self.tokens, self.operands = bits, operands
+
+    def present(self, term: Term) -> Column:
+        return self.tokens.bitwiseAND(F.lit(1 << self.operands.index(term)).cast("long")) != 0
+
+
 def _shift(positions: Column, by: Column) -> Column:
     return F.transform(positions, lambda p: p + by)
 

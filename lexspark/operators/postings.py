@@ -23,13 +23,14 @@ import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import arrays, distance, match, rank
-from lexspark.functions.tsquery import Node, Term, as_tree, requires_match, terms
+from lexspark.functions.tsquery import Node, Term, as_tree, has_phrase, requires_match, terms
 from lexspark.functions.types import positions_text
 from lexspark.operators.registry import CATEGORIES, CLASSES, EMPTY_ITEM, NORM_KEY, NULL_ITEM
 from lexspark.operators.search import ordered
@@ -262,6 +263,18 @@ class PostingIndex:
         item = F.struct(F.col("term").alias("lexeme"), F.col("pos").alias("pos"))
         return self._hits(column, list(terms(node))).groupBy("key").agg(F.array_sort(F.collect_set(item)).alias("v"), F.first("attached").alias("attached"))
 
+    def _matching(self, column: str, query: str | Node | None) -> DataFrame:
+        """(key, attached) of rows whose vector matches. Where presence decides, a row is one number and places are not read."""
+        node = as_tree(query)
+        operands = list(dict.fromkeys(terms(node))) if node is not None else []
+        if node is None or not requires_match(node) or len(operands) > 63 or has_phrase(node) or any(t.mask for t in operands):
+            return self.match(column, query).select("key", "attached")
+        named = lambda t: F.startswith(F.col("term"), F.lit(t.lexeme)) if t.prefix else F.col("term") == t.lexeme
+        bits = [F.when(named(t), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(operands)]
+        hits = self._hits(column, operands).withColumn("bits", reduce(Column.bitwiseOR, bits))
+        hits = hits.groupBy("key").agg(F.bit_or("bits").alias("bits"), F.first("attached").alias("attached"))
+        return hits.where(match.compile_match(node, match.BitSource(F.col("bits"), operands))).select("key", "attached")
+
     def match(self, column: str, query: str | Node) -> DataFrame:
         """(key, attached, v) of rows whose vector matches; queries that hold without any operand read ``docs``."""
         node, o = as_tree(query), self.options
@@ -290,7 +303,7 @@ class PostingIndex:
         found, known = None, False  # known: ``found`` has the attached value
         for column, query in (where or {}).items():
             family = CLASSES[o.columns[column]].family
-            hits = self.match(column, query) if family == "vector" else self.match_array(column, *query)
+            hits = self._matching(column, query) if family == "vector" else self.match_array(column, *query)
             own = family == "vector" and column == o.to and not known
             hits = hits.select(F.col("key").alias(o.key), *([F.col("attached").alias(o.attach)] if own else []))
             if found is None:

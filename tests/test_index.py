@@ -159,13 +159,16 @@ def test_posting_files_keep_their_size(table, tmp_path, monkeypatch):
     assert {r.doc_id for r in index.search({"v": "one <-> two"}).collect()} == {r.doc_id for r in table.where(match.matches("v", "one <-> two")).collect()}
 
 
-def test_inspection_sums_up_terms_first(table, index):
-    """Posting rows meet a hash aggregate by term; nothing sorts them or keeps every row's key apart."""
-    plan = index.partitions()._jdf.queryExecution().executedPlan().toString()
-    assert plan.rindex("HashAggregate") > plan.rindex("SortAggregate")
-    assert "Expand" not in index.stats()._jdf.queryExecution().executedPlan().toString()
-    plain = index.postings().groupBy("bucket").agg(F.count("*"), F.countDistinct("term"), F.min("term"), F.max("term")).collect()
-    assert sorted(index.partitions().collect()) == sorted(plain)
+def test_boolean_search_reads_no_places(index):
+    """Where presence decides, positions are not read; phrases need them."""
+    scan = lambda q: next(x for x in index.search({"v": q})._jdf.queryExecution().executedPlan().toString().splitlines() if "Scan parquet" in x and "term" in x)
+    assert "pos:array" not in scan("one & !two") and "pos:array" in scan("one <-> two")
+
+
+@pytest.mark.parametrize("query", ["one:A & two", "one | on:* & !(three & !four)", "one & one", "(one | two) & (one | !two)"])
+def test_search_by_bits_equals_scan(table, index, query):
+    expected = {r.doc_id for r in table.where(match.matches("v", query)).collect()}
+    assert {r.doc_id for r in index.search({"v": query}).collect()} == expected
 
 
 def test_inspection_sums_up_terms_first(table, index):
