@@ -77,8 +77,8 @@ def hash_term(term: Column) -> Column:
     return F.xxhash64(term)
 
 
-def _posting_rows(df: DataFrame, o: Options) -> DataFrame:
-    """One row per distinct term of each indexed column, and a placeholder row for each empty or null value.
+def _posting_rows(df: DataFrame, o: Options) -> list[DataFrame]:
+    """Of each indexed column, one row per distinct term, and a placeholder row for each empty or null value.
 
     ``df`` is a stored table: each value is read once, and exploded once.
     """
@@ -87,7 +87,7 @@ def _posting_rows(df: DataFrame, o: Options) -> DataFrame:
     nothing = lambda kind: F.lit(None).cast(kind)
     for column, name in o.columns.items():
         c, value = CLASSES[name], F.col(f"`{column}`")
-        here = attached if o.to == column else F.lit(None)
+        here = attached if o.to == column else F.lit(None).cast(df.schema[o.attach].dataType if o.attach else "string")
         if c.family == "scalar":
             rows = df.select(F.col(f"`{o.key}`").alias("key"), F.when(value.isNull(), NULL_ITEM).otherwise(NORM_KEY).cast("tinyint").alias("category"), here.alias("attached"), value.cast("string").alias("term"))
             rows = rows.withColumn("pos", nothing("array<int>")).withColumn("n", nothing("int"))
@@ -103,11 +103,9 @@ def _posting_rows(df: DataFrame, o: Options) -> DataFrame:
         else:
             raise ValueError(f"class {name} is stored by the inverse operator")
         term = hash_term(F.col("term")).cast("string") if c.hashed else F.col("term")
-        parts.append(rows.select(F.lit(column).alias("col"), F.when(F.col("category") == NORM_KEY, term).alias("term"), "key", "category", "pos", "n", "attached"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(o.buckets)).cast("int"))
+        rows = rows.select(F.lit(column).alias("col"), F.when(F.col("category") == NORM_KEY, term).alias("term"), "key", "category", "pos", "n", "attached")
+        parts.append(rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(o.buckets)).cast("int")))
+    return parts
 
 
 def _files(spark: SparkSession, path: str):
@@ -127,14 +125,32 @@ def _batch(spark: SparkSession, path: str, o: Options) -> int:
     return 1 + max((int(n[6:]) for n in _names(spark, f"{path}/{o.generation}/docs") if n.startswith("batch=")), default=-1)
 
 
-#: MB of stored rows from which one posting file is made: a task's sort holds about 20 times as much.
-FILE_MB = 16
+#: MB of stored rows from which one posting file is made where buckets are dealt to tasks, and from which a task makes
+#: posting rows where each sorts its own; a task's sort holds about 20 times as much.
+FILE_MB, TASK_MB = 16, 12
+#: With so many buckets at most, posting rows are not shuffled: a task writes a file to each.
+FEW_BUCKETS = 16
+
+
+def _stored_mb(spark: SparkSession, path: str) -> float:
+    jvm, fs = _files(spark, path)
+    return fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(path)).getLength() / 1e6
+
+
+def _in_small_tasks(spark: SparkSession, stored: str) -> SparkSession:
+    """A session like this one that reads ``stored`` in tasks of ``TASK_MB`` at most, and in enough for all cores."""
+    out, mb = spark.newSession(), min(TASK_MB, max(1, _stored_mb(spark, stored) / spark.sparkContext.defaultParallelism / 2))
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            out.conf.set(k, v)
+    out.conf.set("spark.sql.files.maxPartitionBytes", str(int(mb * 1e6)))
+    out.conf.set("spark.sql.files.openCostInBytes", "0")
+    return out
 
 
 def _salts(spark: SparkSession, stored: str, o: Options) -> int:
     """Into how many files each bucket goes: up to 4 while these are small, and then as many as keep their size."""
-    jvm, fs = _files(spark, stored)
-    mb = fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(stored)).getLength() / 1e6 / o.buckets
+    mb = _stored_mb(spark, stored) / o.buckets
     return max(1, min(4, math.ceil(mb)), math.ceil(mb / FILE_MB))
 
 
@@ -143,14 +159,22 @@ def _write(df: DataFrame, path: str, o: Options) -> None:
     spark, number = df.sparkSession, _batch(df.sparkSession, path, o)
     keep = dict.fromkeys([o.key, *o.columns, *([o.attach] if o.attach else [])])
     rows = df.select(*[F.col(f"`{c}`") for c in keep])
-    stored = f"{path}/{o.generation}/docs/batch={number}"
-    rows.write.parquet(stored)
+    stored, target = (f"{path}/{o.generation}/{name}/batch={number}" for name in ("docs", "postings"))
+    rows.write.option("parquet.block.size", 16 << 20).parquet(stored)
     sort = ["term", "attached", "key"] if o.order_by_attach else ["term", "key"]
-    # few files per bucket, and a hot term is still split: salted by a hash of the row key. A task has one bucket's share
-    salts = _salts(spark, stored, o)
-    part = (F.col("bucket") * salts + F.pmod(F.xxhash64("key"), F.lit(salts))).cast("int")
-    salted = _posting_rows(spark.read.schema(rows.schema).parquet(stored), o).repartitionById(o.buckets * salts, part)
-    salted.sortWithinPartitions("bucket", "col", *sort).write.partitionBy("bucket").parquet(f"{path}/{o.generation}/postings/batch={number}")
+    if o.buckets <= FEW_BUCKETS:  # each task's own rows: nothing is shuffled, and a hot term is split as the rows are
+        for part, column in zip(_posting_rows(_in_small_tasks(spark, stored).read.schema(rows.schema).parquet(stored), o), o.columns):
+            # what is the same in all rows is left out of the sort
+            family, order = CLASSES[o.columns[column]].family, [c for c in sort if c != "attached" or o.to == column]
+            same = {"col"} | ({"n"} if family != "array" else set()) | ({"pos"} if family != "vector" else set()) | ({"attached"} if o.to != column else set())
+            out = part.drop(*same).sortWithinPartitions("bucket", *order)
+            out = out.select(*[(F.lit(column) if c == "col" else F.lit(None).cast(part.schema[c].dataType)).alias(c) if c in same else F.col(c) for c in part.columns])
+            out.write.mode("append").partitionBy("bucket").parquet(target)
+    else:  # few files per bucket, and a hot term is still split: salted by a hash of the row key. A task has one bucket's share
+        salts = _salts(spark, stored, o)
+        part = (F.col("bucket") * salts + F.pmod(F.xxhash64("key"), F.lit(salts))).cast("int")
+        out = reduce(DataFrame.unionByName, _posting_rows(spark.read.schema(rows.schema).parquet(stored), o)).repartitionById(o.buckets * salts, part)
+        out.sortWithinPartitions("bucket", "col", *sort).write.partitionBy("bucket").parquet(target)
 
 
 def _newest(spark: SparkSession, path: str) -> int:

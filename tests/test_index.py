@@ -149,14 +149,16 @@ def test_top_rows_and_fuzzy_limit(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_posting_files_keep_their_size(table, tmp_path, monkeypatch):
-    """A bucket is cut into more files as the rows grow; every file is of one bucket."""
-    path = f"file://{tmp_path}/s"
-    monkeypatch.setattr(postings, "FILE_MB", 1e-4)
-    index = postings.build_index(table, path, {"v": "tsvector"}, buckets=2)
+@pytest.mark.parametrize("few", [0, 16])
+def test_posting_files_keep_their_size(table, tmp_path, monkeypatch, few):
+    """A bucket is cut into more files as the rows grow, dealt to tasks or not; every file is of one bucket."""
+    for name, value in (("FILE_MB", 1e-4), ("TASK_MB", 1e-4), ("FEW_BUCKETS", few)):
+        monkeypatch.setattr(postings, name, value)
+    index = postings.build_index(table.repartition(8), f"file://{tmp_path}/s", {"v": "tsvector", "a": "anyarray"}, buckets=2, attach="d", to="v", attached_kind="int4")
     files = index._rows().select(F.input_file_name().alias("f"), "bucket").distinct().collect()
     assert len(files) == len({r.f for r in files}) and all(sum(r.bucket == b for r in files) > 4 for b in (0, 1))
     assert {r.doc_id for r in index.search({"v": "one <-> two"}).collect()} == {r.doc_id for r in table.where(match.matches("v", "one <-> two")).collect()}
+    assert {r.category for r in index.entries().collect()} == {"NORM_KEY", "EMPTY_ITEM", "NULL_ITEM"} and index.postings("v").where("attached IS NOT NULL").count() and not index.postings("a").where("attached IS NOT NULL").count()
 
 
 def test_boolean_search_reads_no_places(index):
